@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, quality, urls
+from quillon.llm import decontaminate, licenses, mixing, quality, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +25,41 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_table(_table(spark, sf_dir, "documents"), tokenizer_path(), spark)
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_table(_table(spark, sf_dir, "pages"), spark)
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_trust": op1, "op2_quality_votes": op2, "op6_mix_sources": op6}
+    return {
+        "op1_url_trust": op1,
+        "op2_quality_votes": op2,
+        "op3_benchmark_leaks": op3,
+        "op5_license_notices": op5,
+        "op6_mix_sources": op6,
+        "op7_token_shards": op7,
+        "op9_warc_packages": op9,
+        "op10_toxicity": op10,
+    }
