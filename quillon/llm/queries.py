@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, licenses, mixing, quality, tokens, toxicity, urls, warc
+from quillon.llm import decontaminate, jaccard, licenses, mixing, quality, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(_table(spark, sf_dir, "documents"), tokenizer_path(), spark)
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(_table(spark, sf_dir, "pages"), spark)
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_license_notices": op5,
         "op6_mix_sources": op6,
         "op7_token_shards": op7,
+        "op8_near_duplicates": op8,
         "op9_warc_packages": op9,
         "op10_toxicity": op10,
     }
