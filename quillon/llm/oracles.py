@@ -87,5 +87,17 @@ def mixing_sql() -> str:
     return "with " + ", ".join(mixing_parts("documents", f"len(regexp_extract_all(coalesce(text, ''), '{WORD}'))")) + " select doc_id, size, source_size, target, size * copies taken from mixed"
 
 
+def substring_sql() -> str:
+    parts = [
+        f"w as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') w from documents)",
+        "win as (select rid, doc_id, i, array_to_string(w[i:i+12], ' ') g from (select rid, doc_id, w, unnest(range(1, len(w) - 11)) i from w))",
+        "rep as (select rid, i from (select rid, doc_id, i, min(doc_id) over (partition by g) first from win) where first < doc_id)",
+        "gone as (select distinct rid, i + o p from rep, (select unnest(range(0, 13)) o))",
+        "lists as (select rid, list(p) p from gone group by rid)",
+        "kept as (select doc_id, w, len(p) n, case when p is null then w else (select list(x order by k) from (select unnest(w) x, unnest(range(1, len(w) + 1)) k) where not list_contains(p, k)) end kept from w left join lists using (rid))",
+    ]
+    return "with " + ", ".join(parts) + " select doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) kept_sha256 from kept"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_trust": urls_sql(), "op2_quality_votes": quality_sql(), "op6_mix_sources": mixing_sql()}
+    return {"op1_url_trust": urls_sql(), "op2_quality_votes": quality_sql(), "op4_repeated_spans": substring_sql(), "op6_mix_sources": mixing_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, jaccard, licenses, mixing, quality, tokens, toxicity, urls, warc
+from quillon.llm import decontaminate, jaccard, licenses, mixing, quality, substring, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_trust": op1,
         "op2_quality_votes": op2,
         "op3_benchmark_leaks": op3,
+        "op4_repeated_spans": op4,
         "op5_license_notices": op5,
         "op6_mix_sources": op6,
         "op7_token_shards": op7,
