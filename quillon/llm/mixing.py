@@ -12,7 +12,7 @@ input are kept out of the way, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import small, stage, word_count
@@ -41,44 +41,64 @@ def targets(sizes: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
         .withColumn("left_size", F.col("all_size") - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
         .withColumn("left_weight", F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("capped", F.col("most") * F.col("left_weight") <= F.col("left_size") * F.col("weight"))
-        .withColumn("open_size", F.min(F.when(~F.col("capped"), F.col("left_size"))).over(every))
+        .withColumn("open_size", F.max(F.when(~F.col("capped"), F.col("left_size"))).over(every))
         .withColumn("open_weight", F.max(F.when(~F.col("capped"), F.col("left_weight"))).over(every))
     )
     share = F.when(F.col("capped"), F.col("most")).otherwise(F.col("open_size") * F.col("weight") / F.col("open_weight"))
     return filled.select("source", "source_size", share.alias("target"))
 
 
-def _low(level: int):
-    """The bits of h below what the histogram of this level resolves, as a divisor."""
-    return F.lit(16 ** (DIGITS * (LEVELS - 1 - level))).cast("long")
+def hashed(doc_id: Column) -> Column:
+    """The leading hexadecimal digits of the id's MD5, as a number."""
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, DIGITS * LEVELS), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, text: str = "text", cap: float = 3.0) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies. See the module for the method and edge cases."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    base = stage(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.conv(F.substring(digest, 1, DIGITS * LEVELS), 16, 10).cast("long").alias("h")), "sizes")
-    plan = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
+def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, source, size, h of every document, in the shared folder: the texts are read once."""
+    return stage(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), hashed(F.col("doc_id")).alias("h")), "sizes")
+
+
+def plan(base: DataFrame, cap: float = 3.0) -> DataFrame:
+    """(plan_source, source_size, target, whole_copies, threshold) from sizes(): a document is taken whole_copies times, once more if its h is below the threshold."""
+    table = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).cast("long")
-    plan = stage(plan.withColumn("copies", whole).withColumn("want", F.floor(F.col("target")).cast("long") - F.col("copies") * F.col("source_size")), "targets")
+    table = stage(table.withColumn("copies", whole).withColumn("want", F.floor(F.col("target")).cast("long") - F.col("copies") * F.col("source_size")), "targets")
 
-    cut = plan.select("source", "want", F.lit(0).cast("long").alias("prefix"), F.col("want").alias("rest"))
+    cut = table.select("source", F.lit(0).cast("long").alias("prefix"), F.col("want").alias("rest"))
     for level in range(LEVELS):
-        keyed = cut.select(F.col("source").alias("cut_source"), "want", "prefix", "rest")
-        here = base.join(small(keyed, BROADCAST_SOURCES), base["source"].eqNullSafe(F.col("cut_source")))
-        here = here.where(F.floor(F.col("h") / (_low(level) * BINS)).cast("long") == F.col("prefix"))
-        bins = here.groupBy("source", "prefix", "rest", F.expr(f"h div {16 ** (DIGITS * (LEVELS - 1 - level))}").alias("bin")).agg(F.sum("size").alias("size"))
+        low = 16 ** (DIGITS * (LEVELS - 1 - level))
+        keyed = cut.select(F.col("source").alias("cut_source"), "prefix", "rest")
+        here = base.join(small(keyed, BROADCAST_SOURCES), base["source"].eqNullSafe(F.col("cut_source"))).where(F.expr(f"h div {low * BINS}") == F.col("prefix"))
+        bins = here.groupBy("source", "rest", F.expr(f"h div {low}").alias("bin")).agg(F.sum("size").alias("size"))
         run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        bins = bins.withColumn("upto", F.sum("size").over(run))
         # The first bucket that the budget does not cover whole; its start is the threshold so far.
-        over = bins.where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct("bin", "size", (F.col("rest") - F.col("upto") + F.col("size")).alias("rest"))).alias("edge"))
-        cut = over.select("source", F.lit(0).cast("long").alias("want"), F.col("edge.bin").alias("prefix"), F.col("edge.rest").alias("rest"), F.col("edge.size").alias("edge_size"))
-        cut = stage(cut, f"cut{level}")
+        over = bins.withColumn("upto", F.sum("size").over(run)).where(F.col("upto") > F.col("rest"))
+        edge = over.groupBy("source").agg(F.min(F.struct("bin", "size", (F.col("rest") - F.col("upto") + F.col("size")).alias("rest"))).alias("edge"))
+        cut = stage(edge.select("source", F.col("edge.bin").alias("prefix"), F.col("edge.rest").alias("rest"), F.col("edge.size").alias("size")), f"cut{level}")
     # A last bucket holds documents of one hash: take it if that comes nearer to the budget.
-    last = cut.select(F.col("source").alias("cut_source"), (F.col("prefix") + F.when(2 * F.col("rest") > F.col("edge_size"), 1).otherwise(0)).alias("threshold"))
-    plan = plan.join(small(last, BROADCAST_SOURCES), plan["source"].eqNullSafe(F.col("cut_source")), "left")
-    plan = plan.select(F.col("source").alias("plan_source"), "source_size", "target", F.col("copies").alias("whole_copies"), "threshold")
-    # A source without an edge bucket has no documents of size above 0 left beyond its budget.
-    joined = base.join(small(plan, BROADCAST_SOURCES), base["source"].eqNullSafe(F.col("plan_source")))
-    more = F.when(F.col("threshold").isNull() | (F.col("h") >= F.col("threshold")), 0).otherwise(1)
-    copies = (F.col("whole_copies") + more).cast("long")
+    last = cut.select(F.col("source").alias("cut_source"), (F.col("prefix") + F.when(2 * F.col("rest") > F.col("size"), 1).otherwise(0)).alias("threshold"))
+    table = table.join(small(last, BROADCAST_SOURCES), table["source"].eqNullSafe(F.col("cut_source")), "left")
+    return stage(table.select(F.col("source").alias("plan_source"), "source_size", "target", F.col("copies").alias("whole_copies"), "threshold"), "plan")
+
+
+def _copies(h: Column) -> Column:
+    # A source without a threshold has no documents of size above 0 left beyond its budget.
+    more = F.when(F.col("threshold").isNull() | (h >= F.col("threshold")), 0).otherwise(1)
+    return (F.col("whole_copies") + more).cast("long")
+
+
+def mix(docs: DataFrame, text: str = "text", cap: float = 3.0) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies. See the module for the method and edge cases."""
+    base = sizes(docs, text)
+    joined = base.join(small(plan(base, cap), BROADCAST_SOURCES), base["source"].eqNullSafe(F.col("plan_source")))
+    copies = _copies(F.col("h"))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def apply(docs: DataFrame, text: str = "text", cap: float = 3.0) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with its columns. The texts are not shuffled if the sources are few."""
+    table = small(plan(sizes(docs, text), cap), BROADCAST_SOURCES)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    joined = docs.select(row).join(table, F.col("row.source").eqNullSafe(F.col("plan_source")))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), _copies(hashed(F.col("row.doc_id"))).cast("int")))).select("row.*")

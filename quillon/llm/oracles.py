@@ -63,7 +63,7 @@ def targets_cte(cap: float = 3.0) -> list[str]:
         f"ranked as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 weight, source_size * {cap}::double most from src)",
         "fill as (select *, (sum(source_size) over ())::double - coalesce(sum(most) over win, 0) left_size, sum(weight) over () - coalesce(sum(weight) over win, 0) left_weight from ranked window win as (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding))",
         "caps as (select *, most * left_weight <= left_size * weight capped from fill)",
-        "t as (select source, source_size, case when capped then most else (min(left_size) filter (not capped) over ()) * weight / (max(left_weight) filter (not capped) over ())::double end target from caps)",
+        "t as (select source, source_size, case when capped then most else (max(left_size) filter (not capped) over ()) * weight / (max(left_weight) filter (not capped) over ())::double end target from caps)",
     ]
 
 
