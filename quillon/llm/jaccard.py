@@ -28,17 +28,22 @@ from quillon.llm.components import components
 from quillon.llm.hashing import WordHashes, mix, runs
 from quillon.llm.words import spaced
 
-SIZE, THRESHOLD, RECALL = 5, 0.8, 0.99999
+SIZE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Sets in a bucket that is compared as it is, sets in a block, splits of a larger bucket, places of a sketch for each split.
-LIMIT, BLOCK, SPLITS, PLACES = 2048, 1024, 2, 4
-BINS = 128
+LIMIT, BLOCK, SPLITS, PLACES = 2048, 1024, 2, 2
+BINS = 64
 #: A pair whose sketches agree in a smaller share of bins is far below the threshold.
 LEAST_AGREEMENT = 0.5
 
 
 def n_runs(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Runs after which a pair at the threshold is missed with a chance below 1 - recall: each run misses it with at most 1 / e."""
-    return max(1, math.ceil(-math.log(1 - recall)))
+    """Runs after which a pair at the threshold is missed with a chance below 1 - recall.
+
+    A run picks a shared shingle with a chance of at least 1 - 1 / e; each split of a large bucket keeps the pair together
+    unless its sketches differ at all sampled places.
+    """
+    found = (1 - 1 / math.e) * (1 - (1 - threshold) ** PLACES) ** SPLITS
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
 
 
 def shingles(words: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -53,22 +58,23 @@ def set_id(s: np.ndarray) -> bytes:
 
 def sketch(s: np.ndarray) -> np.ndarray:
     """The smallest shingle of each of BINS equal ranges of hashes, in 16 bits; 0 for an empty range."""
-    at = np.searchsorted(s, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7))
+    at = np.searchsorted(s, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
     ends = np.append(at[1:], len(s))
     low = mix(s[np.minimum(at, len(s) - 1)]) >> np.uint64(48)
     return np.where(at < ends, np.maximum(low, np.uint64(1)), 0).astype("<u2")
 
 
 def path_keys(s: np.ndarray, seeds: np.ndarray, threshold: float) -> np.ndarray:
-    """Bucket numbers: a hash of run and shingle for every shingle that a run picks."""
+    """Bucket numbers: a hash of run and shingle for every shingle that a run picks. A run's hash is a multiplication by its odd seed."""
     bound = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(s)))))
-    found = [h[h <= bound] for h in (mix(s ^ seed) for seed in seeds)]
-    return np.unique(np.concatenate([mix(h ^ seed) for h, seed in zip(found, seeds, strict=True)])).view(np.int64)
+    h = s[None, :] * seeds[:, None]
+    run, at = np.nonzero(h <= bound)
+    return np.unique(mix(h[run, at] ^ seeds[run])).view(np.int64)
 
 
 def describe(docs: DataFrame, text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, sid, n, sketch, keys of every document."""
-    seeds = mix(np.arange(1, n_runs(threshold, recall) + 1, dtype=np.uint64))
+    seeds = mix(np.arange(1, n_runs(threshold, recall) + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches):
         hashes = WordHashes()
@@ -177,14 +183,13 @@ def _prune(batches):
         ok = _comparable(bucket, lists, table.column("block").to_numpy(), lo != hi)
         s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(m, BINS)
         needed = np.zeros(m, bool)
-        step = max(1, (1 << 22) // (m * BINS))
-        for a in range(0, m, step):
-            x, y = s[a : a + step, None, :], s[None, :, :]
-            used = ((x > 0) | (y > 0)).sum(2)
-            near = ((x == y) & (x > 0)).sum(2) >= LEAST_AGREEMENT * used
-            near &= ok[a : a + step]
-            needed[a : a + step] |= near.any(1)
-            needed |= near.any(0)
+        i, j = np.nonzero(ok)  # pairs that met in a smaller bucket are gone: few are left in most buckets
+        for a in range(0, len(i), 1 << 16):
+            left, right = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+            x, y = s[left], s[right]
+            near = ((x == y) & (x > 0)).sum(1) >= LEAST_AGREEMENT * ((x > 0) | (y > 0)).sum(1)
+            needed[left[near]] = True
+            needed[right[near]] = True
         yield from table.select(["bucket", "lo", "hi", "block", "sid"]).filter(pa.array(needed)).combine_chunks().to_batches()
 
 
