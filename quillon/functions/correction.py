@@ -67,7 +67,7 @@ def adjust_within(df: DataFrame, method: str | None, group: str | Sequence[str],
         return _by_vector(df, method, keys, p, out)
     n = F.count(v).over(Window.partitionBy(*keys))
     if method == "bonferroni":
-        return df.withColumn(out, F.least(v * n, F.lit(1.0)))
+        return df.withColumn(out, F.when(v.isNotNull(), F.least(v * n, F.lit(1.0))))
     order = v.asc_nulls_last()
     low = F.rank().over(Window.partitionBy(*keys).orderBy(order))
     high = F.count(v).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -117,7 +117,7 @@ def adjust(df: DataFrame, method: str | None, p: str = "p_value", out: str = "ad
     if n <= 0:
         return df.withColumn(out, v)
     if method == "bonferroni":
-        return df.withColumn(out, F.least(v * n, F.lit(1.0)))
+        return df.withColumn(out, F.when(v.isNotNull(), F.least(v * n, F.lit(1.0))))
     if method == "hommel":
         # Sequential by nature: only the sorted distinct values and their counts come to one place, one number each.
         rows = df.select(v.alias("p")).where("p is not null").groupBy("p").agg(F.count(F.lit(1)).alias("c")).orderBy("p").collect()

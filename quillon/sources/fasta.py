@@ -33,7 +33,7 @@ def read_fasta_entries(spark: SparkSession, path: str) -> DataFrame:
     blank = F.trim(F.replace("piece", F.lit("\n"), F.lit(""))) == ""
     opened = F.col("piece").startswith(">")
     audit = pieces.groupBy("file").agg(F.count_if(~blank).alias("n"), F.count_if(opened | blank).alias("starts"), F.count_if(F.contains("piece", F.lit("�"))).alias("broken"))
-    row = audit.agg(F.count_if("n = 0").alias("empty"), F.count_if((F.col("n") > 0) & (F.col("starts") == 0)).alias("headless"), F.sum("broken").alias("broken"), F.count(F.lit(1)).alias("files")).first()
+    row = audit.agg(F.count_if(F.col("n") == 0).alias("empty"), F.count_if((F.col("n") > 0) & (F.col("starts") == 0)).alias("headless"), F.sum("broken").alias("broken"), F.count(F.lit(1)).alias("files")).first()
     if not row.files or row.empty:
         raise ContractError(f"the FASTA file {path} is empty")
     if row.headless:
