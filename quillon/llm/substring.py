@@ -1,10 +1,18 @@
-"""Exact substring deduplication over windows of words.
-
-A word goes if it lies in a window of LENGTH words that also starts in a document with a smaller id. Windows are found in
-an exchange of their hashes: every task resolves the windows that repeat among its own texts, and sends each remaining
-window once, 48 hash bits and its place, to the slot that its other hash bits name; so a passage that a third of all
-documents share costs one entry a task. A slot sees all tasks' entries of its hashes and names, for every window, the
-smallest document with it. Results return to their documents as runs of windows (start, number, owner, owner's start).
+"""Exact substring deduplication with suffix automata of reference shards.
+
+A word goes if it lies in a window of LENGTH words that also starts in a document with a smaller id. Every document is a
+reference for all later ones, so automata of all texts, streamed against all texts, would cost the square of the corpus.
+An exchange of window hashes first finds which spans of which document each text has to be held against: every task
+resolves the windows that repeat among its own texts, and sends each remaining window once, 48 hash bits and its place,
+to the slot that its other hash bits name; a passage that a third of all documents share costs one entry a task. A slot
+names, for every window, the smallest document with it. Runs of windows (start, number, owner, owner's start) return to
+their documents.
+
+The owners' spans, each distinct passage about once, are the reference. They are dealt into shards of bounded size; a
+shard's suffix automaton is built on words, each state with the smallest document that it occurs in, and all spans that
+the exchange sent to the shard stream through it. Matching statistics of at least LENGTH words in a smaller document
+confirm a window. Texts lose the maximal spans of confirmed windows; if a window is not confirmed, hashes collided and the
+work is done again with others.
 
 Edge cases: null and empty texts have no words and lose none; texts shorter than a window lose none; windows that repeat only
 inside one text stay; rows that share an id are not smaller than each other and are told apart by a hash of their text;
@@ -13,13 +21,16 @@ null ids count as larger than all others; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import stage
 from quillon.llm.hashing import WordHashes, mix, runs
 from quillon.llm.words import spaced
 
@@ -27,6 +38,8 @@ LENGTH = 13
 #: Bytes of text that a task takes at once, and that a slot of the exchange stands for; least and most slots.
 AT_ONCE, SLOT_BYTES, SLOTS = 12 << 20, 3 << 20, (128, 1 << 16)
 NULL_ID = np.iinfo(np.int64).max
+#: Words of a reference shard, words that stream through one copy of it, and how often hashes may collide.
+SHARD_WORDS, STREAM_WORDS, ATTEMPTS = 60_000, 600_000, 3
 RUN = ("doc", "tag", "start", "n", "owner", "owner_tag", "owner_start")
 
 
@@ -34,6 +47,11 @@ def _packed(*arrays: np.ndarray) -> bytes:
     return zlib.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of 32-bit numbers, all first bytes first: like bytes compress better together."""
+    return np.ascontiguousarray(a.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+
+
 def pack_runs(r: np.ndarray) -> bytes:
     """Rows of RUN, int64, in order of document and start: columns as differences, which compress well."""
     return _packed(np.array([len(r)], "<i8"), *(np.diff(r[:, k], prepend=0).astype("<i8") for k in range(r.shape[1])))
@@ -71,7 +89,7 @@ def _emit(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["slot", "kind", "data"])
 
 
-def local(doc: np.ndarray, tag: np.ndarray, words: list[np.ndarray], slots: int, length: int = LENGTH) -> list[tuple[int, int, bytes]]:
+def local(doc: np.ndarray, tag: np.ndarray, words: list[np.ndarray], slots: int, length: int = LENGTH, seed: int = 0) -> list[tuple[int, int, bytes]]:
     """(slot, kind, data) of one lot of texts: kind 0 holds windows for the exchange, kind 1 runs that the lot resolves itself."""
     order = np.lexsort((tag, doc))
     doc, tag, words = doc[order], tag[order], [words[i] for i in order]
@@ -82,7 +100,7 @@ def local(doc: np.ndarray, tag: np.ndarray, words: list[np.ndarray], slots: int,
     at = np.arange(len(of)) - np.repeat(np.cumsum([0, *(max(0, len(w) - length + 1) for w in words[:-1])]), [max(0, len(w) - length + 1) for w in words]) if len(of) else np.zeros(0, np.int64)
     if not len(of):
         return []
-    h = h[offsets[of] + at]
+    h = mix(h[offsets[of] + at] ^ np.uint64(seed))
     rank = np.argsort(h, kind="stable")  # equal windows in order of document and place
     hs = h[rank]
     new = np.concatenate([[True], hs[1:] != hs[:-1]])
@@ -105,7 +123,7 @@ def local(doc: np.ndarray, tag: np.ndarray, words: list[np.ndarray], slots: int,
         count = np.diff(np.append(start, len(d)))
         step = np.diff(at[own], prepend=0)
         step[start] = at[own][start]
-        place = _packed(doc[d[start]].astype("<i8"), tag[d[start]].astype("<i8"), count.astype("<u4"), step.astype("<u4"))
+        place = _packed(np.diff(doc[d[start]], prepend=0).astype("<i8"), tag[d[start]].astype("<i8"), _planes(count), _planes(step))
         sizes = np.array([len(own), len(start), len(place)], "<u4").tobytes()
         out.append((slot, 0, sizes + (h[own] >> np.uint64(32)).astype("<u4").tobytes() + ((h[own] >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes() + place))
     return out
@@ -116,8 +134,9 @@ def _entries(data: bytes) -> tuple[np.ndarray, ...]:
     n, docs, size = np.frombuffer(data, "<u4", 3).tolist()
     key = np.frombuffer(data, "<u4", n, 12).astype(np.uint64) << np.uint64(16) | np.frombuffer(data, "<u2", n, 12 + 4 * n).astype(np.uint64)
     rest = zlib.decompress(data[12 + 6 * n : 12 + 6 * n + size])
-    doc, tag = np.frombuffer(rest, "<i8", docs), np.frombuffer(rest, "<i8", docs, 8 * docs)
-    count, step = np.frombuffer(rest, "<u4", docs, 16 * docs), np.frombuffer(rest, "<u4", n, 20 * docs).astype(np.int64)
+    doc, tag = np.cumsum(np.frombuffer(rest, "<i8", docs)), np.frombuffer(rest, "<i8", docs, 8 * docs)
+    plane = lambda size, at: np.ascontiguousarray(np.frombuffer(rest, np.uint8, 4 * size, at).reshape(4, size).T).view("<u4").reshape(-1).astype(np.int64)
+    count, step = plane(docs, 16 * docs), plane(n, 20 * docs)
     total = np.cumsum(step)
     start = np.cumsum(count) - count
     place = total - np.repeat(total[start] - step[start], count)
@@ -141,12 +160,12 @@ def resolve(lots: list[bytes]) -> np.ndarray:
     return np.stack([doc[a], tag[a], place[a], np.ones(len(a), np.int64), doc[b], tag[b], place[b]], 1)
 
 
-def _lots(batches, slots: int, length: int):
+def _lots(batches, slots: int, length: int, seed: int):
     hashes, held, size = WordHashes(), [], 0
 
     def flush():
         ids = np.array([NULL_ID if d is None else d for d, _, _ in held], np.int64)
-        return local(ids, np.array([t for _, t, _ in held], np.int64), [hashes.of(spaced(x)) for _, _, x in held], slots, length)
+        return local(ids, np.array([t for _, t, _ in held], np.int64), [hashes.of(spaced(x)) for _, _, x in held], slots, length, seed)
 
     for batch in batches:
         for d, t, x in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "tag", "text")), strict=True):
@@ -219,11 +238,11 @@ def n_slots(rows: DataFrame) -> int:
     return min(max(SLOTS[0], size // SLOT_BYTES), SLOTS[1] - 1)
 
 
-def repeated_runs(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_runs(rows: DataFrame, length: int = LENGTH, seed: int = 0) -> DataFrame:
     """(doc_id, tag, runs) of documents (doc_id, tag, text) that have windows of smaller documents."""
     slots = n_slots(rows)
     parts = max(32, slots // 4)
-    sent = rows.mapInArrow(lambda it: _lots(it, slots, length), "slot int, kind int, data binary")
+    sent = rows.mapInArrow(lambda it: _lots(it, slots, length, seed), "slot int, kind int, data binary")
     met = sent.repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(lambda it: _slots(it, slots), "slot int, kind int, data binary")
     return met.select("slot", "data").repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(_documents, "doc_id long, tag long, runs binary")
 
@@ -236,32 +255,183 @@ def removed_mask(n: int, r: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _kept(length: int):
+class Automaton:
+    """The suffix automaton of several texts of words; each state has the smallest document that it occurs in."""
+
+    def __init__(self) -> None:
+        self.step: list[dict[bytes, int]] = [{}]
+        self.link, self.size, self.doc = [-1], [0], [NULL_ID]
+
+    def _state(self, size: int, link: int, step: dict[bytes, int], doc: int) -> int:
+        self.step.append(step)
+        self.link.append(link)
+        self.size.append(size)
+        self.doc.append(doc)
+        return len(self.size) - 1
+
+    def _split(self, p: int, q: int, word: bytes) -> int:
+        """The state of the words that lead from p to q, of q's words only those that short."""
+        step, link, size = self.step, self.link, self.size
+        if size[p] + 1 == size[q]:
+            return q
+        copy = self._state(size[p] + 1, link[q], dict(step[q]), NULL_ID)
+        link[q] = copy
+        while p >= 0 and step[p].get(word) == q:
+            step[p][word] = copy
+            p = link[p]
+        return copy
+
+    def add(self, words: Iterable[bytes], doc: int) -> None:
+        step, link, size = self.step, self.link, self.size
+        last = 0
+        for word in words:
+            q = step[last].get(word)
+            if q is not None:  # another text went here already
+                last = self._split(last, q, word)
+            else:
+                new, p = self._state(size[last] + 1, 0, {}, NULL_ID), last
+                while p >= 0 and word not in step[p]:
+                    step[p][word] = new
+                    p = link[p]
+                if p >= 0:
+                    link[new] = self._split(p, step[p][word], word)
+                last = new
+            self.doc[last] = min(self.doc[last], doc)
+
+    def finish(self) -> None:
+        """Hand documents on from longer words to their endings."""
+        for v in np.argsort(-np.array(self.size), kind="stable").tolist():
+            if v:
+                self.doc[self.link[v]] = min(self.doc[self.link[v]], self.doc[v])
+
+    def found(self, words: list[bytes], length: int) -> Iterator[int]:
+        """For every window of the words, the smallest document with it, NULL_ID if there is none."""
+        step, link, size, doc = self.step, self.link, self.size, self.doc
+        v = n = 0
+        for i, word in enumerate(words):
+            while v and word not in step[v]:
+                v = link[v]
+                n = size[v]
+            v = step[v].get(word, 0)
+            n = n + 1 if v else 0
+            if n >= length:  # of what matches, only the last window matters
+                while size[link[v]] >= length:
+                    v = link[v]
+                n = length
+            if i >= length - 1:
+                yield doc[v] if n >= length else NULL_ID
+
+
+def _references(batches, length: int):
+    """The owners' spans of a batch's runs: one row an owner, overlapping spans joined."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        r = np.concatenate([unpack_runs(x) for x in batch.column("runs").to_pylist()])
+        r = np.unique(np.stack([r[:, 4], r[:, 5], r[:, 6], r[:, 6] + r[:, 3] - 1 + length], 1), axis=0)
+        head = np.flatnonzero(np.concatenate([[True], (r[1:, :2] != r[:-1, :2]).any(1)]))
+        rows = []
+        for part in np.split(r, head[1:]):
+            rows.append((int(part[0, 0]), int(part[0, 1]), _joined(part[:, 2:]).astype("<i4").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([None if d == NULL_ID else d for d, _, _ in rows], pa.int64()), pa.array([t for _, t, _ in rows], pa.int64()), pa.array([x for _, _, x in rows], pa.binary())], names=["doc_id", "tag", "spans"])
+
+
+def _joined(spans: np.ndarray) -> np.ndarray:
+    """Spans (start, end) in order, with those that touch joined."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    top = np.maximum.accumulate(spans[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > top[:-1]]))
+    return np.stack([spans[first, 0], top[np.append(first[1:] - 1, len(spans) - 1)]], 1)
+
+
+_PIECES = pa.list_(pa.struct([("shard", pa.int32()), ("query", pa.bool_()), ("n", pa.int32()), ("words", pa.binary())]))
+
+
+def _cut(length: int, shards: int, text_out: bool):
+    """What is left of every text, and its spans for the shards: its own references, and its runs for their owners' shards."""
+
     def run(batches):
-        for batch in batches:
-            out = []
-            for text, data in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                words, gone = spaced(text), 0
-                if data is not None:
-                    mask = removed_mask(len(words), unpack_runs(data), length)
-                    gone = int(mask.sum())
-                    kept = b" ".join([w for w, x in zip(words, mask.tolist(), strict=True) if not x])
+        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
+            kept, sizes, gone, pieces = [], [], [], []
+            for doc, text, data, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "runs", "spans")), strict=True):
+                words, own = spaced(text), []
+                sizes.append(len(words))
+                if data is None:
+                    kept.append(b" ".join(words))
+                    gone.append(0)
                 else:
-                    kept = b" ".join(words)
-                out.append((len(words), gone, kept))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+                    r = unpack_runs(data)
+                    mask = removed_mask(len(words), r, length)
+                    gone.append(int(mask.sum()))
+                    kept.append(b" ".join([w for w, x in zip(words, mask.tolist(), strict=True) if not x]))
+                    for shard, start, n in zip(slot_of(r[:, 4], shards).tolist(), r[:, 2].tolist(), r[:, 3].tolist(), strict=True):
+                        own.append({"shard": shard, "query": True, "n": n, "words": b" ".join(words[start : start + n - 1 + length])})
+                if spans:
+                    shard = int(slot_of(np.array([NULL_ID if doc is None else doc]), shards)[0])
+                    for a, b in _joined(np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2)).tolist():
+                        own.append({"shard": shard, "query": False, "n": b - a, "words": b" ".join(words[a:b])})
+                pieces.append(own)
+            left = pa.array(kept, pa.binary()) if text_out else pa.array([hashlib.sha256(k).hexdigest() for k in kept])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), left, pa.array(pieces, _PIECES)], names=["doc_id", "n_words", "n_removed", "kept", "pieces"])
+
+    return run
+
+
+def _confirm(length: int):
+    """Streams each shard's spans through its automaton; the spans with a window that no smaller document of the shard has."""
+
+    def run(batches):
+        now, automaton, bad = None, None, []
+        for batch in batches:
+            for shard, copy, query, doc, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "copy", "query", "doc_id", "words")), strict=True):
+                if (shard, copy) != now:
+                    now, automaton, ready = (shard, copy), Automaton(), False
+                doc = NULL_ID if doc is None else doc
+                if not query:
+                    automaton.add(words.split(b" "), doc)
+                    continue
+                if not ready:
+                    automaton.finish()
+                    ready = True
+                if any(d >= doc for d in automaton.found(words.split(b" "), length)):
+                    bad.append(shard)
+        if bad:
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(bad, pa.int32())})
 
     return run
 
 
-def deduplicate(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by single spaces, UTF-8)."""
+def _attempt(rows: DataFrame, length: int, seed: int, text_out: bool) -> tuple[DataFrame, DataFrame]:
+    """(result, spans that the automata do not confirm)."""
+    found = stage(repeated_runs(rows, length, seed), "runs")
+    spans = found.select("runs").mapInArrow(lambda it: _references(it, length), "doc_id long, tag long, spans binary")
+    spans = stage(spans.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("spans")), "references")  # a row a task and owner at most
+    total = spans.agg(F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + F.octet_length(x)))).first()[0] or 0
+    shards = int(min(max(32, total // 8 * 60 // SHARD_WORDS), 60_000))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.tag") == F.col(f"{b}.tag"))
+    both = found.alias("a").join(spans.alias("b"), same("a", "b"), "full").select(F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), F.coalesce("a.tag", "b.tag").alias("tag"), "runs", "spans")
+    joined = rows.alias("c").join(both.alias("d"), same("c", "d"), "left").select("c.doc_id", "text", "runs", "spans")
+    pieces = "array<struct<shard:int,query:boolean,n:int,words:binary>>"
+    cut = stage(joined.mapInArrow(_cut(length, shards, text_out), f"doc_id long, n_words long, n_removed long, kept {'binary' if text_out else 'string'}, pieces {pieces}"), "cut")
+
+    sent = cut.select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
+    load = sent.groupBy("shard").agg(F.sum(F.when(F.col("query"), F.col("n").cast("long"))).alias("load"))
+    load = load.select("shard", F.greatest(F.lit(1), F.ceil(F.col("load") / STREAM_WORDS)).cast("int").alias("copies"))
+    dealt = sent.join(load, "shard").withColumn("copy", F.explode(F.when(F.col("query"), F.array(F.pmod(F.xxhash64("words"), F.col("copies")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))))
+    dealt = dealt.repartition(max(32, shards // 4), "shard", "copy").sortWithinPartitions("shard", "copy", "query", "doc_id")
+    return cut.drop("pieces"), stage(dealt.select("shard", "copy", "query", "doc_id", "words").mapInArrow(_confirm(length), "shard int"), "unconfirmed")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", length: int = LENGTH, text_out: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by single spaces, UTF-8; or their SHA-256)."""
     rows = tagged(docs, text)
-    found = repeated_runs(rows, length).select(F.col("doc_id").alias("r_doc"), F.col("tag").alias("r_tag"), "runs")
-    joined = rows.join(found, rows["doc_id"].eqNullSafe(F.col("r_doc")) & (rows["tag"] == F.col("r_tag")), "left")
-    return joined.select("doc_id", "text", "runs").mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept binary")
+    for seed in range(ATTEMPTS):
+        out, bad = _attempt(rows, length, seed, text_out)
+        if bad.isEmpty():
+            return out
+    raise RuntimeError("windows with equal hashes differ, several times over")
 
 
 def digests(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    return deduplicate(docs, text, length).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return deduplicate(docs, text, length, text_out=False).withColumnRenamed("kept", "kept_sha256")
