@@ -98,6 +98,34 @@ def test_runs_pack(spark):
     assert (substring.unpack_runs(substring.pack_runs(r)) == r).all()
 
 
+def test_automaton_finds_the_smallest_document():
+    r = random.Random(3)
+    for _ in range(60):
+        texts = [(d, [bytes([97 + r.randrange(3)]) for _ in range(r.randint(1, 25))]) for d in r.sample(range(50), 6)]
+        automaton = substring.Automaton()
+        for d, w in texts:
+            automaton.add(w, d)
+        automaton.finish()
+        for length in (1, 2, 4):
+            query = [bytes([97 + r.randrange(4)]) for _ in range(40)]
+            want = []
+            for i in range(len(query) - length + 1):
+                g = query[i : i + length]
+                want.append(min((d for d, w in texts if any(w[k : k + length] == g for k in range(len(w) - length + 1))), default=substring.NULL_ID))
+            assert list(automaton.found(query, length)) == want
+
+
+def test_only_smaller_documents_confirm():
+    import pyarrow as pa
+
+    words = b" ".join(b"w%d" % i for i in range(20))
+    rows = lambda *x: pa.RecordBatch.from_pydict({"shard": [1] * len(x), "copy": [0] * len(x), "query": [q for q, _, _ in x], "doc_id": [d for _, d, _ in x], "words": [w for _, _, w in x]})
+    confirm = lambda *x: sum(b.num_rows for b in substring._confirm(13)(iter([rows(*x)])))
+    assert confirm((False, 3, words), (True, 4, words)) == 0
+    assert confirm((False, 3, words), (True, 3, words)) == confirm((False, 3, words), (True, 9, words + b" new")) == 1
+    assert confirm((False, 3, words), (True, None, words[:-4])) == 0
+
+
 # --- near duplicates ---------------------------------------------------------------------------------------------------
 
 
