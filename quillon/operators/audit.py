@@ -1,4 +1,4 @@
-"""Checks of the data contract, folded into three aggregates."""
+"""Checks of the data contract, folded into one aggregate."""
 
 from __future__ import annotations
 
@@ -52,22 +52,33 @@ def intensity_audit(df: DataFrame, log2_needed: bool = False) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(not_finite(c)).alias("n_non_finite"), F.count_if(c.isNull()).alias("n_null"), bad.alias("n_non_positive"), F.coalesce(F.avg(F.when(c.isNotNull(), F.isnan(c).cast("double"))), F.lit(0.0)).alias("nan_fraction"))
 
 
+def summary(df: DataFrame, min_peptides: int, log2_needed: bool) -> DataFrame:
+    """All counts that check() looks at, in one row: summed by key, then by protein, then over all."""
+    c = F.col(INTENSITY)
+    bad = F.count_if(c <= 0) if log2_needed else F.lit(0).cast("long")
+    sums = ("n_rows", "n_non_finite", "n_null", "n_non_positive", "n_nan")
+    keys = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(not_finite(c)).alias("n_non_finite"), F.count_if(c.isNull()).alias("n_null"), bad.alias("n_non_positive"), F.count_if(F.isnan(c)).alias("n_nan"))
+    peptides = keys.groupBy(PROTEIN, PEPTIDE).agg(F.max("n_rows").alias("most"), *(F.sum(x).alias(x) for x in sums))
+    proteins = peptides.groupBy(PROTEIN).agg(F.count(F.lit(1)).alias("n_peptides"), F.max("most").alias("most"), *(F.sum(x).alias(x) for x in sums))
+    return proteins.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums), F.coalesce(F.max("most"), F.lit(0)).alias("most"), F.count_if(F.col("n_peptides") < min_peptides).alias("n_few"))
+
+
 def check(df: DataFrame, config: Config) -> dict[str, Any]:
-    """Runs the audits on the prepared rows and raises for what breaks the contract."""
-    got = intensity_audit(df, not config.input_is_log2).first()
+    """Raises for what breaks the contract. One job finds whether anything does; examples are fetched only then."""
+    got = summary(df, config.min_peptides, not config.input_is_log2).first()
     if not got.n_rows:
         raise ContractError("no peptide rows remain for the configured samples")
-    if examples := duplicate_keys(df).limit(3).collect():
-        raise ContractError(f"peptide keys must be unique; repeated for example: {[tuple(r)[:3] for r in examples]}")
+    if got.most > 1:
+        raise ContractError(f"peptide keys must be unique; repeated for example: {[tuple(r)[:3] for r in duplicate_keys(df).limit(3).collect()]}")
     if got.n_non_finite:
         raise ContractError(f"{INTENSITY} has {got.n_non_finite} non-finite value(s); impute them first")
     if got.n_null:
         warnings.warn(f"{INTENSITY} has {got.n_null} null value(s); imputed data are expected", ScopeWarning, stacklevel=3)
     if config.model == "wls" and WEIGHT not in df.columns and not {IS_REAL, IS_MISSING} <= set(df.columns):
         raise ContractError("model 'wls' needs a weight column, or both is_real and is_complete_missing")
-    few = offenders(df, config.min_peptides)
-    if worst := few.orderBy("n_peptides", PROTEIN).limit(5).collect():
-        raise ContractError(f"protein(s) have fewer than {config.min_peptides} peptides, for example {[tuple(r) for r in worst]}")
+    if got.n_few:
+        worst = offenders(df, config.min_peptides).orderBy("n_peptides", PROTEIN).limit(5).collect()
+        raise ContractError(f"{got.n_few} protein(s) have fewer than {config.min_peptides} peptides, for example {[tuple(r) for r in worst]}")
     if got.n_non_positive:
         raise ContractError(f"{INTENSITY} has {got.n_non_positive} value(s) of 0 or less, which have no logarithm; set input_is_log2 if they are logarithms")
-    return {"n_rows": got.n_rows, "nan_fraction": got.nan_fraction}
+    return {"n_rows": got.n_rows, "nan_fraction": got.n_nan / max(1, got.n_rows - got.n_null)}

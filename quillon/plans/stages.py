@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,11 @@ def prepare_from_parquet(spark: SparkSession, path: str, config: Config, provena
 
 
 def corrected(raw: DataFrame, config: Config) -> DataFrame:
-    """raw with p-values corrected within proteins, then over all, and the flag."""
+    """raw with p-values corrected within proteins, then over all, and the flag.
+
+    The table-wide correction looks at the p-values several times; they are kept, one row a peptide, so that models run once.
+    """
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     within = adjust_within(raw, config.correction_within, PROTEIN, "raw_p_value", "within_p_value")
     both = adjust(within, config.correction_global, "within_p_value", "adjusted_p_value")
     flag = F.coalesce(F.col("adjusted_p_value") <= config.fdr, F.lit(False))
