@@ -141,7 +141,7 @@ def _grouped(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def _shared(rows: list[np.ndarray], most: int = 1 << 25) -> np.ndarray:
+def _shared(rows: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:
     """How many values each two of the given sets have in common."""
     m = len(rows)
     flat, owner = np.concatenate(rows), np.repeat(np.arange(m), [len(r) for r in rows])
@@ -290,4 +290,5 @@ def join(docs: DataFrame, text: str = "text", size: int = SIZE, threshold: float
 def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents with the smallest id of each group, with their columns; rows with the same id stay or go together."""
     keep = join(docs, text, **options).where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(keep, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
