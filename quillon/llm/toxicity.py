@@ -43,6 +43,8 @@ KINDS = ("fixed", "word", "start3", "start4", "start5", "often")
 OFTEN, ONE_IN = (4, 5), 100
 VOTERS = (*KINDS, "repeated", "dense", "nothing")
 CUT = 0.3
+#: What the label model believes before it sees votes, as so many texts of either class: how often a toxic and a clean text get each vote.
+BELIEF, EXPECTED = 10.0, {1: (0.5, 0.01), -1: (0.05, 0.9)}
 COUNTS = T.StructType([T.StructField("n_words", T.LongType()), *(T.StructField(k, T.LongType()) for k in KINDS)])
 
 
@@ -52,8 +54,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _terms(batches):
-    """Texts by term and label: each batch's counts, one row a term."""
-    for batch in batches:
+    """Texts by term and label: counts of 200 texts at once, one row a term."""
+    for batch in (b.slice(a, 200) for b in batches for a in range(0, b.num_rows, 200)):
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             listed = folded_lower(text)
@@ -155,28 +157,27 @@ def label_model(patterns: list[tuple[list[int], float]], rounds: int = 30) -> tu
             w = {}
             for vote, bound in ((1, max), (-1, min)):
                 hit = v[:, k] == vote
-                w[vote] = bound(0.0, float(np.log(((n * q * hit).sum() + 1) / (toxic + 3)) - np.log(((n * (1 - q) * hit).sum() + 1) / (clean + 3))))
+                w[vote] = bound(0.0, float(np.log(((n * q * hit).sum() + BELIEF * EXPECTED[vote][0]) / (toxic + BELIEF)) - np.log(((n * (1 - q) * hit).sum() + BELIEF * EXPECTED[vote][1]) / (clean + BELIEF))))
             weights.append(w)
-        share = _discount(v, n, q) if last else np.ones(m)  # accuracies first, then what correlated voters say together
-        score = np.log((toxic + 1) / (clean + 1)) + sum(share[k] * np.array([weights[k].get(x, 0.0) for x in v[:, k].tolist()]) for k in range(m))
+        share = {x: _discount(v == x, n, q) if last else np.ones(m) for x in (1, -1)}  # accuracies first, then what correlated voters say together
+        score = np.log((toxic + BELIEF / 20) / (clean + BELIEF)) + sum(share[x][k] * weights[k][x] * (v[:, k] == x) for k in range(m) for x in (1, -1))
         q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return q.tolist(), weights
 
 
-def _discount(v: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """1 / (1 + sum of a voter's positive correlations with others), the mean over both classes."""
-    total, m = np.zeros(v.shape[1]), v.shape[1]
+def _discount(hit: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """1 / (1 + sum of a voter's positive correlations with voters of the same vote), the mean over both classes."""
+    total, m = np.zeros(hit.shape[1]), hit.shape[1]
     for w in (n * q, n * (1 - q)):
         p = w / max(w.sum(), 1e-9)
-        d = v - p @ v
-        var = np.maximum(p @ (d * d), 1e-9)
-        for a, b in itertools.combinations(range(m), 2):
-            r = max(0.0, float(p @ (d[:, a] * d[:, b]) / np.sqrt(var[a] * var[b])))
-            total[[a, b]] += r / 2
+        d = hit - p @ hit
+        var = p @ (d * d)
+        for a, b in itertools.combinations(np.flatnonzero(var > 1e-6), 2):
+            total[[a, b]] += max(0.0, float(p @ (d[:, a] * d[:, b]) / np.sqrt(var[a] * var[b]))) / 2
     return 1 / (1 + total)
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, steps: int = 25) -> np.ndarray:
     """Weights and intercept of a logistic model for soft labels, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, weight = np.zeros(x.shape[1]), weight / max(weight.sum(), 1e-9)
