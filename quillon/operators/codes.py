@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.schema import PEPTIDE, PROTEIN
 
+#: Ranges of proteins that are numbered apart.
+RANGES = 256
+
 
 def peptide_codes(df: DataFrame) -> DataFrame:
     """(protein_id, peptide_id, peptide_code): the dense rank of a peptide in its protein, from 0."""
@@ -20,7 +23,8 @@ def protein_ordinal(df: DataFrame) -> DataFrame:
     a range.
     """
     ids = df.select(PROTEIN).distinct()
-    cuts = [r[0] for r in ids.select(F.xxhash64(PROTEIN).alias("h"), PROTEIN).where("pmod(h, 1024) = 0").orderBy(PROTEIN).limit(1000).select(PROTEIN).collect()]
+    every = max(1, ids.count() // RANGES)
+    cuts = [r[0] for r in ids.where(F.pmod(F.xxhash64(PROTEIN), F.lit(every)) == 0).orderBy(PROTEIN).collect()]  # about RANGES names
     ranged = ids.withColumn("range", F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<string>"), lambda x: x <= F.col(PROTEIN))))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     first = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
