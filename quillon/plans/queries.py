@@ -95,7 +95,7 @@ def scope_audit(spark, sf_dir):
 
 
 def duplicate_keys(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias(PROTEIN), F.col("l_linenumber").alias(PEPTIDE), F.year("l_shipdate").alias(SAMPLE))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias(PROTEIN), F.col("l_linenumber").alias(PEPTIDE), F.year("l_shipdate").cast("long").alias(SAMPLE))
     return audit.duplicate_keys(rows)
 
 
