@@ -28,9 +28,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
 
 
+_STAGED: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this process has staged so far, when no result that reads it is needed any more; the number of tables."""
+    n = len(_STAGED)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later steps start from files that survive lost executors."""
+    """Write df as Parquet to the shared folder and read it back: later steps start from files that survive lost executors.
+
+    The files stay until release() or until the folder's owner clears it.
+    """
     path = shared_path(df.sparkSession, name)
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

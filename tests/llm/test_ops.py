@@ -544,3 +544,14 @@ def test_native_plans_have_no_python(spark):
     for name in ("op1_url_trust", "op2_quality_votes", "op6_mix_sources"):
         plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+def test_release(spark):
+    from quillon.llm import common
+
+    held, common._STAGED[:] = list(common._STAGED), []
+    df = stage(spark.range(3), "gone")
+    assert df.count() == 3 and common.release(spark) == 1 and common.release(spark) == 0
+    with pytest.raises(Exception, match="(?i)file|path"):
+        df.count()
+    common._STAGED[:] = held
