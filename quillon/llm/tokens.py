@@ -14,7 +14,9 @@ the text; an empty table writes no shard; texts are encoded whole.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import struct
 import zlib
 
@@ -32,7 +34,7 @@ MAGIC = b"QTOKENS1"
 TRAILER = struct.Struct("<8sIIQQQQQ")  # magic, id width, spare, rows, ids, keys, buckets, start of the index
 END_ID = 2
 #: Most words whose ids a Python process keeps, and the texts encoded at once.
-CACHE, AT_ONCE = 400_000, 500
+CACHE, AT_ONCE = 200_000, 1000
 DIRECT = np.uint32(1 << 31)
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,8 +50,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Encoder:
     """Texts to little-endian ids with the tokenizers library.
 
-    by_word: the tokenizer drops white space and never joins across it, so a text's ids are those of its words, whose ids
-    are kept between texts; else texts are encoded whole.
+    by_word: the tokenizer lower-cases, drops white space and never joins across it, nor a comma or full stop behind an ASCII
+    letter or digit with what precedes it; so a text's ids are those of its pieces cut there, whose ids are kept between
+    texts. Texts that may hold a special token, which is sought before lower-casing, are not lower-cased here. Else texts are
+    encoded whole.
     """
 
     def __init__(self, path: str, by_word: bool = True, end_id: int = END_ID) -> None:
@@ -60,23 +64,54 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        words = self.tokenizer.get_vocab()
+        self.ends = np.array([t.endswith("</w>") for t in sorted(words, key=words.get)]) if len(words) == max(words.values()) + 1 else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids by word. Words of ASCII and Latin-1 letters only are encoded as one text, whose ids show where each word ends."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0100"] if self.ends is not None else []
+        out: dict[bytes, bytes] = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in plain])], add_special_tokens=False)[0].ids, self.dtype)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(stops) == len(plain):
+                data, starts = ids.tobytes(), [0, *stops.tolist()]
+                out = {words[i]: data[a:b] for i, a, b in zip(plain, starts, starts[1:], strict=False)}
+        rest = [i for i, w in enumerate(words) if w not in out]
+        return out | dict(zip([words[i] for i in rest], self._encode([texts[i] for i in rest]), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return [ids + self.end for ids in self._encode([t or "" for t in texts])]
-        split = [encoded(t).split() for t in texts]
+        split = [pieces(t) for t in texts]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        extra = dict(zip(new, self._encode([w.decode("utf-8", "replace") for w in new]), strict=True))
-        if room := CACHE - len(known):
-            known.update(list(extra.items())[:room])
-        if len(extra) > room:
-            get = lambda w: extra[w] if w in extra else known[w]
-            return [b"".join([get(w) for w in words]) + self.end for words in split]
-        return [b"".join([known[w] for w in words]) + self.end for words in split]
+        extra = self._encode_words(list(set(itertools.chain.from_iterable(split)).difference(known)))
+        if (room := CACHE - len(known)) > 0:
+            known.update(itertools.islice(extra.items(), room))
+        get = known.__getitem__ if len(extra) <= room else (lambda w: extra[w] if w in extra else known[w])
+        return [b"".join(map(get, words)) + self.end for words in split]
+
+
+_STOP = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=\s)")
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def pieces(text: str | None) -> list[bytes]:
+    """Parts of a text between which the tokenizer's words end: at ASCII white space and at a stop that it follows."""
+    data = encoded(text)
+    return _STOP.sub(rb" \g<0>", data if b"<|" in data else data.lower()).split()
+
+
+def encoder(path: str, by_word: bool = True, end_id: int = END_ID) -> Encoder:
+    """One encoder a Python process, with the ids it has learnt, for all tasks that the process runs."""
+    key = (path, by_word, end_id)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,18 +222,18 @@ def write(docs: DataFrame, tokenizer: str, to: str, by_word: bool = True, end_id
     files.make_dir(to)
 
     def save(batches):
-        encoder, writer, shard, manager = None, None, TaskContext.get().partitionId(), None
+        used, writer, shard, manager = None, None, TaskContext.get().partitionId(), None
         uri = f"{to}/shard-{shard:06d}.ids"
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer, by_word, end_id)
+                used = encoder(tokenizer, by_word, end_id)
                 manager = files.written(uri)
-                writer = Writer(manager.__enter__(), encoder.dtype)
+                writer = Writer(manager.__enter__(), used.dtype)
             for a in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(a, AT_ONCE)
-                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for key, ids in zip(part.column(0).to_pylist(), used.encode(part.column(1).to_pylist()), strict=True):
                     writer.add(key, ids)
         if writer is not None:
             writer.close()
