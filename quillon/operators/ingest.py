@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.config import ColumnMap, Config
+from quillon.config import ColumnMap, Config, Design
 from quillon.errors import ContractError
 from quillon.schema import CONDITION, INTENSITY, OPTIONAL, PROTEIN, REQUIRED, SAMPLE, TYPES
 
@@ -47,12 +47,20 @@ def ingest(df: DataFrame, config: Config) -> DataFrame:
     return coerced(in_scope(df, config))
 
 
-def attach_conditions(df: DataFrame, config: Config) -> DataFrame:
+def attach_conditions(df: DataFrame, design: Config | Design) -> DataFrame:
     """The condition of every row's sample, looked up in a literal map: no join. Unknown samples keep their id."""
-    pairs = [F.lit(x) for s, c in config.to_design_table().sample_to_condition.items() for x in (s, c)]
+    table = design.to_design_table() if isinstance(design, Config) else design
+    pairs = [F.lit(x) for s, c in table.sample_to_condition.items() for x in (s, c)]
     return df.drop(CONDITION).withColumn(CONDITION, F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(SAMPLE)), F.col(SAMPLE)))
 
 
 def peptide_columns(df: DataFrame) -> DataFrame:
     """The required columns, the condition and whichever optional ones are there."""
     return df.select(*REQUIRED, CONDITION, *(c for c in OPTIONAL if c in df.columns))
+
+
+def materialize_peptide_table(df: DataFrame, config: Config) -> tuple[DataFrame, tuple[str, ...]]:
+    """(the ingested table, samples that it leaves out); samples are listed by one small aggregate, the table stays lazy."""
+    named = harmonize_columns(df, config.column_map)
+    found = {r[0] for r in named.select(F.col(SAMPLE).cast("string")).distinct().collect()}
+    return ingest(named, config), tuple(sorted(found - config.selected_sample_ids))

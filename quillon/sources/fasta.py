@@ -46,10 +46,15 @@ def read_fasta_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(header, sequence) as written: both stripped of white space, the case kept; an empty file gives an empty table."""
-    lines = F.transform(F.split(F.regexp_replace("piece", "^>", ""), "\n"), F.trim)
-    rows = _pieces(spark, path).where(F.trim(F.replace("piece", F.lit("\n"), F.lit(""))) != "")
-    return rows.select(F.get(lines, 0).alias("header"), F.array_join(F.slice(lines, 2, F.size(lines)), "").alias("sequence"))
+    """(entry, sequence) as written: headers without `>`, white space around lines and blank lines dropped, the case kept; an empty file gives an empty table."""
+    pieces = _pieces(spark, path)
+    blank = F.trim(F.replace("piece", F.lit("\n"), F.lit(""))) == ""
+    audit = pieces.groupBy("file").agg(F.count_if(~blank).alias("n"), F.count_if(F.col("piece").rlike("^\\s*>") | blank).alias("starts"))
+    if not audit.where("n > 0 and starts = 0").isEmpty():
+        raise SourceError(f"{path} has sequence data before a header")
+    records = pieces.where(~blank).select(F.explode(F.split(F.regexp_replace("piece", "^\\s*>", ""), "\n[ \t]+>")).alias("piece"))
+    lines = F.transform(F.split("piece", "\n"), lambda x: F.trim(x))
+    return records.select(F.get(lines, 0).alias("entry"), F.array_join(F.slice(lines, 2, F.size(lines)), "").alias("sequence"))
 
 
 def annotate(entries: DataFrame, gene_only: bool = False, min_length: int = 7, max_length: int = 10**6, allow_ambiguous: bool = True) -> DataFrame:

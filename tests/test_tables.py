@@ -244,7 +244,14 @@ def test_fasta(spark, tmp_path):
     assert "sequence" not in q.fasta_to_dataframe(spark, path, include_sequence=False).columns
     with pytest.raises(q.ContractError):
         q.fasta_to_dataframe(spark, path, sort_by=["nope"])
-    assert q.read_fasta(spark, path).first().sequence == "acdefghikLMN"
+    plain = q.read_fasta(spark, path).collect()
+    assert len(plain) == 5 and plain[0].entry.startswith("sp|P11111|AAA1_X") and plain[0].sequence == "acdefghikLMN"
+    (tmp_path / "i.fasta").write_text("\n >a b \n AC \n  > c\nGT")
+    assert [tuple(r) for r in q.read_fasta(spark, str(tmp_path / "i.fasta")).collect()] == [("a b", "AC"), ("c", "GT")]
+    (tmp_path / "n.fasta").write_text("")
+    assert q.read_fasta(spark, str(tmp_path / "n.fasta")).count() == 0
+    with pytest.raises(q.ContractError):
+        q.read_fasta_entries(spark, str(tmp_path / "n.fasta"))
     (tmp_path / "e.fasta").write_text("ACD\n>x\nA\n")
     with pytest.raises(q.ContractError):
         q.read_fasta_entries(spark, str(tmp_path / "e.fasta"))
@@ -252,6 +259,13 @@ def test_fasta(spark, tmp_path):
         q.calc_molecular_weight("A1")
 
 
+def test_design_and_dropped_samples(spark, peptides):
+    design = q.DesignTable(("S1",), {"S1": "a"}, {"a": ("S1",)})
+    assert {(r.sample_id, r.condition) for r in q.attach_conditions(peptides, design).collect()} == {("S1", "a"), *((f"S{i}", f"S{i}") for i in range(2, 7))}
+    table, dropped = q.materialize_peptide_table(peptides, config().replace(conditions={"ctl": ("S1", "S2"), "trt": ("S4", "S5")}))
+    assert dropped == ("S3", "S6") and table.count() == 32 and "qvalue" in q.VALID_METHODS
+
+
 def test_settings(tmp_path):
     cfg = config(cluster_max_clusters=4)
     assert q.Config.from_yaml(cfg.to_yaml()) == cfg and cfg.condition_levels == ("ctl", "trt")
