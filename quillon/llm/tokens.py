@@ -19,6 +19,7 @@ import os
 import re
 import struct
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ MAGIC = b"QTOKENS1"
 TRAILER = struct.Struct("<8sIIQQQQQ")  # magic, id width, spare, rows, ids, keys, buckets, start of the index
 END_ID = 2
 #: Most words whose ids a Python process keeps, and the texts encoded at once.
-CACHE, AT_ONCE = 200_000, 1000
+CACHE, AT_ONCE = 300_000, 1000
+#: Bits that remember which words were met.
+SEEN = 1 << 25
 DIRECT = np.uint32(1 << 31)
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,12 +61,17 @@ class Encoder:
 
     def __init__(self, path: str, by_word: bool = True, end_id: int = END_ID) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        #: The same vocabulary for plain lower-case words, without the patterns that texts need.
+        self.light = Tokenizer.from_file(path)
+        self.light.normalizer = None
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.seen = bytearray(SEEN >> 3)
         words = self.tokenizer.get_vocab()
         self.ends = np.array([t.endswith("</w>") for t in sorted(words, key=words.get)]) if len(words) == max(words.values()) + 1 else None
 
@@ -76,7 +84,7 @@ class Encoder:
         plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0100"] if self.ends is not None else []
         out: dict[bytes, bytes] = {}
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in plain])], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(self.light.encode_batch_fast([" ".join([texts[i].lower() for i in plain])], add_special_tokens=False)[0].ids, self.dtype)
             stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
             if len(stops) == len(plain):
                 data, starts = ids.tobytes(), [0, *stops.tolist()]
@@ -90,10 +98,25 @@ class Encoder:
         split = [pieces(t) for t in texts]
         known = self.known
         extra = self._encode_words(list(set(itertools.chain.from_iterable(split)).difference(known)))
-        if (room := CACHE - len(known)) > 0:
-            known.update(itertools.islice(extra.items(), room))
-        get = known.__getitem__ if len(extra) <= room else (lambda w: extra[w] if w in extra else known[w])
-        return [b"".join(map(get, words)) + self.end for words in split]
+        known.update(extra)
+        get = known.__getitem__
+        out = [b"".join(map(get, words)) + self.end for words in split]
+        for word in self._passing(extra):
+            del known[word]
+        return out
+
+    def _passing(self, words: Iterable[bytes]) -> list[bytes]:
+        """Of words just learnt those not to keep: words met for the first time, so that rare ones do not fill the room, and all beyond it."""
+        over, seen = [], self.seen
+        room = CACHE - (len(self.known) - len(words))
+        for word in words:
+            h = hash(word) & SEEN - 1
+            if room > 0 and seen[h >> 3] >> (h & 7) & 1:
+                room -= 1
+            else:
+                seen[h >> 3] |= 1 << (h & 7)
+                over.append(word)
+        return over
 
 
 _STOP = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=\s)")
@@ -103,7 +126,16 @@ _ENCODERS: dict[tuple, Encoder] = {}
 def pieces(text: str | None) -> list[bytes]:
     """Parts of a text between which the tokenizer's words end: at ASCII white space and at a stop that it follows."""
     data = encoded(text)
-    return _STOP.sub(rb" \g<0>", data if b"<|" in data else data.lower()).split()
+    if b"<|" not in data:
+        data = data.lower()
+    for stop in (b", ", b". ", b".\n"):
+        parts = data.split(stop)
+        last = parts.pop()
+        if not all([x[-1:].isalnum() for x in parts]):  # a stop stands behind something else somewhere
+            return _STOP.sub(rb" \g<0>", data).split()
+        parts.append(last)
+        data = (b" " + stop).join(parts)
+    return data.split()
 
 
 def encoder(path: str, by_word: bool = True, end_id: int = END_ID) -> Encoder:
