@@ -27,7 +27,11 @@ def written(uri: str):
     try:
         yield stream
         stream.close()
-        system.move(part, path)
+        try:
+            system.move(part, path)
+        except OSError:  # a store that does not replace: an earlier run of the task has left the same file
+            system.delete_file(path)
+            system.move(part, path)
     except BaseException:
         with contextlib.suppress(OSError):
             stream.close()

@@ -1,6 +1,6 @@
 """Near-duplicate join by chosen paths: word shingles, Jaccard similarity at or above a threshold.
 
-Texts with equal shingle sets form a class and one set stands for each class. In every run a set picks those of its shingles
+Texts with equal shingle sets are copies and one set stands for them. In every run a set picks those of its shingles
 whose hash in that run is below a bound set by its size, about 1.25 of them; sets that pick a shared shingle meet in its
 bucket. Buckets of more than LIMIT sets are split again, twice at most, on shared values at sampled places of the sets'
 min-hash sketches. In a bucket all pairs are compared: first by sketch, with a bound that a pair at the threshold passes by
@@ -9,8 +9,8 @@ threshold is below 1 - RECALL. A pair that shares several buckets counts only in
 ever listed to drop repeats: sums of links by set and a spanning forest leave a bucket, not its pairs. Buckets too
 large for one task are compared in pairs of blocks.
 
-Edge cases: null and empty texts have no shingles, are their own class and have no links; texts of less than five words have
-one shingle, all their words; repeated rows and equal texts share a class and link to each other; null ids are carried along;
+Edge cases: null and empty texts have no shingles, are a class of their own and have no links; texts of less than five words have
+one shingle, all their words; repeated rows and equal texts are copies and link to each other; null ids are carried along;
 an empty table gives an empty result; other columns do not matter.
 """
 
@@ -239,10 +239,10 @@ def _roots(adjacent: np.ndarray) -> np.ndarray:
 
 
 def join(docs: DataFrame, text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, group_id, n_shingles.
+    """One row per document: doc_id, class_id, n_links, copy_id, n_shingles.
 
-    class_id is the smallest id among texts with the same shingles, n_links the number of other documents at or above the
-    threshold, copies included, group_id the smallest id of the documents connected by links.
+    class_id is the smallest id of the documents connected by links, n_links the number of other documents at or above the
+    threshold, copies included, copy_id the smallest id among texts with the same shingles.
     """
     described = stage(describe(docs, text, size, threshold, recall), "described")
     sets = described.where("n > 0")
@@ -284,11 +284,12 @@ def join(docs: DataFrame, text: str = "text", size: int = SIZE, threshold: float
     table = table.select("sid", "rep", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("group_id", "rep").alias("group_id"))
     out = described.select("doc_id", "sid", "n").join(table, "sid", "left")
     some = F.col("n") > 0
-    return out.select("doc_id", F.when(some, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(some, F.col("group_id")).otherwise(F.col("doc_id")).alias("group_id"), F.col("n").cast("long").alias("n_shingles"))
+    own = lambda c: F.when(some, F.col(c)).otherwise(F.col("doc_id"))
+    return out.select("doc_id", own("group_id").alias("class_id"), F.when(some, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), own("rep").alias("copy_id"), F.col("n").cast("long").alias("n_shingles"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents with the smallest id of each group, with their columns; rows with the same id stay or go together."""
-    keep = join(docs, text, **options).where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    """The documents with the smallest id of each class, with their columns; rows with the same id stay or go together."""
+    keep = join(docs, text, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return rows.join(keep, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

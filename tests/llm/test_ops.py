@@ -152,7 +152,7 @@ def brute_jaccard(rows):
     for i, (d, _) in enumerate(rows):
         groups[find(i)].append(d)
         classes[frozenset(sets[i])].append(d)
-    return [(d, low(classes[frozenset(sets[i])]) if sets[i] else d, links[i], low(groups[find(i)]) if sets[i] else d, len(sets[i])) for i, (d, _) in enumerate(rows)]
+    return [(d, low(groups[find(i)]) if sets[i] else d, links[i], low(classes[frozenset(sets[i])]) if sets[i] else d, len(sets[i])) for i, (d, _) in enumerate(rows)]
 
 
 def test_near_duplicates(docs, rows):
@@ -161,7 +161,7 @@ def test_near_duplicates(docs, rows):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert {r[0] for r in brute_jaccard(rows) if r[0] == r[3]} == set(ids)
+    assert {r[0] for r in brute_jaccard(rows) if r[0] == r[1]} == set(ids)
 
 
 def test_large_buckets_are_split_and_dealt_in_blocks(spark, monkeypatch):

@@ -24,7 +24,7 @@ def test_stages(spark):
     before, after = seen["near_duplicates"]
     groups = collections.defaultdict(set)
     for r in jaccard.join(before).collect():
-        groups[r.group_id].add(r.doc_id)
+        groups[r.class_id].add(r.doc_id)
     assert {r.doc_id for r in after.collect()} == {min(g) for g in groups.values()}
     before, after = seen["decontamination"]
     leaks = {r.doc_id for r in decontaminate.contaminated(before, bench).collect()}
