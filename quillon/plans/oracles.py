@@ -69,7 +69,7 @@ def oracle_sql() -> dict[str, str]:
         "attach_conditions": f"with {LONG} select protein_id, peptide_id, sample_id, case " + " ".join(f"when sample_id in ({', '.join(repr(s) for s in v[:2])}) then '{k}'" for k, v in CONDITIONS.items()) + " else sample_id end condition from e",
         "scope_audit": f"with {LONG}, h as (select distinct sample_id from e), a as (select unnest([{IN}, 'Y1900']) asked) select coalesce(sample_id, asked) sample, sample_id is not null present, asked is not null configured from h full join a on sample_id = asked",
         "duplicate_keys": "select l_suppkey protein_id, l_linenumber peptide_id, year(l_shipdate) sample_id, count(*) n from lineitem group by all having n > 1",
-        "min_peptide_offenders": "select l_suppkey protein_id, count(distinct l_partkey) n_peptides from lineitem group by all having n_peptides < 60",
+        "min_peptide_offenders": "select l_suppkey protein_id, count(distinct l_partkey) n_peptides from lineitem group by all having n_peptides < 520",
         "intensity_audit": "with x as (select case when l_orderkey % 97 = 0 then null when l_orderkey % 89 = 0 then 'nan'::double when l_orderkey % 83 = 0 then 'inf'::double when l_orderkey % 79 = 0 then -l_extendedprice else l_extendedprice end v from lineitem) select count(*) n_rows, count(*) filter (isnan(v) or isinf(v)) n_non_finite, count(*) filter (v is null) n_null, count(*) filter (v <= 0) n_non_positive, round(avg(isnan(v)::int), 6) nan_fraction from x",
         "provenance_join": f"with {LONG} select protein_id, peptide_id, sample_id, round(intensity, 6) intensity, is_real, is_complete_missing from e",
         "provenance_anti_missing": f"with {LONG} select protein_id, peptide_id, sample_id from e where ends_with(protein_id, '3')",

@@ -101,7 +101,7 @@ def duplicate_keys(spark, sf_dir):
 
 def min_peptide_offenders(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias(PROTEIN), F.col("l_partkey").alias(PEPTIDE))
-    return audit.offenders(rows, 60)
+    return audit.offenders(rows, 520)
 
 
 def intensity_audit(spark, sf_dir):
