@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import mixing, quality, urls
+from quillon.llm import mixing, quality, urls, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -99,5 +99,12 @@ def substring_sql() -> str:
     return "with " + ", ".join(parts) + " select doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) kept_sha256 from kept"
 
 
+def warc_sql() -> str:
+    return f"""with p as (select page_id, coalesce(html, '') h, octet_length(encode(coalesce(html, ''))) n from pages),
+k as (select *, case when n >= {warc.LEAST} then max(page_id) over (partition by h) end keeper from p)
+select page_id, n::bigint payload_bytes, sha1(h) payload_digest, case when keeper is not null and page_id is distinct from keeper then 'revisit' else 'response' end record_type,
+case when page_id is distinct from keeper then keeper end refers_to from k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_trust": urls_sql(), "op2_quality_votes": quality_sql(), "op4_repeated_spans": substring_sql(), "op6_mix_sources": mixing_sql()}
+    return {"op1_url_trust": urls_sql(), "op2_quality_votes": quality_sql(), "op4_repeated_spans": substring_sql(), "op6_mix_sources": mixing_sql(), "op9_warc_packages": warc_sql()}
