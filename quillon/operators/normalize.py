@@ -21,7 +21,7 @@ def normalize_control_relative_long(df: DataFrame, control_sample_ids: Sequence[
     """df with intensity_normalized.
 
     Samples are few and hold very many rows each: their statistics are aggregated, with map-side sums, and go into the plan as
-    a literal map; the only shuffle of rows is by (protein, peptide).
+    a literal map. Rows shuffle once, by protein: that also serves all later groups and windows, whose keys include it.
     """
     c = F.col(intensity_col).cast("double")
     logged = df.withColumn("y", c if input_is_log2 else F.log2(c))
@@ -33,7 +33,7 @@ def normalize_control_relative_long(df: DataFrame, control_sample_ids: Sequence[
     look = lambda k: F.create_map(*(x for r in stats for x in (F.lit(r[SAMPLE]), F.lit(r[k]).cast("double"))))[F.col(SAMPLE)]
     z = (F.col("y") - look("mean")) / F.nullif(look("std"), F.lit(0.0))
     control = F.avg(F.when(F.col(SAMPLE).isin(list(control_sample_ids)), F.col("z"))).over(Window.partitionBy(PROTEIN, PEPTIDE))
-    return logged.withColumn("z", z).withColumn(NORMALIZED, F.col("z") - control).drop("y", "z")
+    return logged.withColumn("z", z).repartition(PROTEIN).withColumn(NORMALIZED, F.col("z") - control).drop("y", "z")
 
 
 def normalize_control_relative(wide: np.ndarray, control_column_indices: Sequence[int], input_is_log2: bool = False) -> np.ndarray:
