@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,9 +95,13 @@ def _by_vector(df: DataFrame, method: str, keys: list[str], p: str, out: str) ->
     return df.groupBy(*keys).applyInArrow(run, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
-def distinct_ranks(df: DataFrame, p: str) -> DataFrame:
-    """(p, c, low, high, range): each tested p-value once, how often it stands and the ranks it takes."""
-    values = df.select(tested(F.col(p)).alias("p")).where("p is not null").groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+def distinct_values(df: DataFrame, p: str) -> DataFrame:
+    """(p, c): each tested p-value once, and how often it stands."""
+    return df.select(tested(F.col(p)).alias("p")).where("p is not null").groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+
+
+def distinct_ranks(values: DataFrame) -> DataFrame:
+    """(p, c, low, high, range) of (p, c): the ranks that each p-value takes."""
     cuts = values.agg(F.percentile_approx("p", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []  # a row of RANGES numbers
     cuts = sorted(set(cuts))
     ranged = values.withColumn("range", F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda x: x < F.col("p"))) if cuts else F.lit(0))
@@ -112,7 +117,8 @@ def adjust(df: DataFrame, method: str | None, p: str = "p_value", out: str = "ad
     v = tested(F.col(p))
     if method == "none":
         return df.withColumn(out, v)
-    m = df.agg(F.count(v)).first()[0]
+    values = distinct_values(df, p).persist(StorageLevel.MEMORY_AND_DISK)  # looked at several times; df is run for it and for the result
+    m = values.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     n = m if n_tests is None else n_tests
     if n <= 0:
         return df.withColumn(out, v)
@@ -120,12 +126,12 @@ def adjust(df: DataFrame, method: str | None, p: str = "p_value", out: str = "ad
         return df.withColumn(out, F.when(v.isNotNull(), F.least(v * n, F.lit(1.0))))
     if method == "hommel":
         # Sequential by nature: only the sorted distinct values and their counts come to one place, one number each.
-        rows = df.select(v.alias("p")).where("p is not null").groupBy("p").agg(F.count(F.lit(1)).alias("c")).orderBy("p").collect()
+        rows = values.orderBy("p").collect()
         x = np.repeat([r.p for r in rows], [r.c for r in rows])
         fixed = dict(zip(x.tolist(), hommel(x, n).tolist(), strict=True))
         table = df.sparkSession.createDataFrame([(a, b) for a, b in fixed.items()], "_p double, _a double")
         return df.join(table, F.col(p) == F.col("_p"), "left").withColumn(out, F.col("_a")).drop("_p", "_a")
-    ranks = distinct_ranks(df, p)
+    ranks = distinct_ranks(values)
     bound = _stepped(method, F.col("p"), F.col("low"), F.col("high"), F.lit(m).cast("long"), F.lit(n).cast("long"))
     ranks = ranks.withColumn("b", bound)
     if method in UPWARD:
@@ -138,7 +144,7 @@ def adjust(df: DataFrame, method: str | None, p: str = "p_value", out: str = "ad
         run = F.least("own", "carry")
     factor = F.lit(1.0)
     if method == "qvalue":
-        factor = F.lit(pi0(df, p))
+        factor = F.lit(pi0_of(values, m))
     fixed = ranks.withColumn("own", own).join(F.broadcast(edge), "range").select(F.col("p").alias("_p"), (factor * F.least(F.lit(1.0), run)).alias("_a"))
     return df.join(fixed, F.col(p) == F.col("_p"), "left").withColumn(out, F.col("_a")).drop("_p", "_a")
 
@@ -151,11 +157,16 @@ def lambda_curve(df: DataFrame, p: str = "p_value") -> DataFrame:
     return row.select("m", F.explode(pairs).alias("x")).select("x.lambda", "x.n_above", F.try_divide(F.col("x.n_above"), F.col("m") * (1 - F.col("x.lambda"))).alias("pi0"))
 
 
+def pi0_of(values: DataFrame, m: int) -> float:
+    """The estimated share of true nulls among m p-values, from (p, c); the smoothing runs on the curve's 19 numbers."""
+    row = values.agg(*(F.coalesce(F.sum(F.when(F.col("p") > x, F.col("c"))), F.lit(0)).alias(f"c{i}") for i, x in enumerate(LAMBDAS))).first()
+    return pi0_from_curve(np.array([row[f"c{i}"] for i in range(len(LAMBDAS))], float), m)
+
+
 def pi0(df: DataFrame, p: str = "p_value") -> float:
-    """The estimated share of true nulls; the smoothing runs on the curve's 19 numbers."""
-    v = tested(F.col(p))
-    row = df.agg(F.count(v).alias("m"), *(F.count_if(v > x).alias(f"c{i}") for i, x in enumerate(LAMBDAS))).first()
-    return pi0_from_curve(np.array([row[f"c{i}"] for i in range(len(LAMBDAS))], float), row.m)
+    """The estimated share of true nulls of a table."""
+    values = distinct_values(df, p)
+    return pi0_of(values, values.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
 
 
 def p_adjust(pvalues: Sequence[float], method: str | None, n_tests: int | None = None) -> np.ndarray:
