@@ -4,7 +4,10 @@ Hosts are nodes; an edge (source host, target host) has the share of the source'
 target. Trust is personalised PageRank from hosts in proportion to their share of pages that rules allow; distrust is
 the same from blocked pages over reversed edges, so that hosts linking to bad hosts become suspect. Scores are integers
 in units of 2 ** -40 and edge shares in units of 2 ** -20, so sums do not depend on their order and reruns agree. Pages
-without a rule take their host's verdict: blocked if distrust reaches the threshold and exceeds trust.
+without a rule take their host's verdict: blocked if its evidence reaches the threshold and exceeds trust. Evidence is the
+host's distrust or, where that is more, the mean distrust of the hosts that its links point at, each counted up to what a
+host with blocked pages only has of itself. Reversed links divide a host's distrust among all that link to it, so a farm's
+hosts get little each; the mean is not divided and finds them, however many they are.
 
 Edge cases: null urls and urls without :// have an empty host and path and belong to the host ''; relative links and
 links of a host to itself are no edges; repeated rows are judged alike; an empty table gives an empty result.
@@ -30,9 +33,11 @@ RULES: tuple[Rule, ...] = (
     ("block", "org", "/es/"),
 )
 UNIT, SHARE = 2**40, 2**20
-#: Damping as 17 / 20, a fixed number of steps, and the share of UNIT at which distrust blocks a host.
+#: Damping as 17 / 20, a fixed number of steps, and the share of UNIT at which evidence blocks a host.
 DAMP_UP, DAMP_DOWN, STEPS = 17, 20, 6
 BLOCK_AT = UNIT * 3 // 20 * 9 // 10
+#: The distrust of a host whose pages are all blocked, without what its links bring.
+FULL = UNIT * (DAMP_DOWN - DAMP_UP) // DAMP_DOWN
 BROADCAST_HOSTS = 200_000
 URL = "://([^/?#]*)([^?#]*)"
 HREF = r'href\s*=\s*"([^"]*)"'
@@ -86,6 +91,12 @@ def propagate(seeds: DataFrame, links: DataFrame, steps: int = STEPS) -> DataFra
     return now
 
 
+def aimed(links: DataFrame, scores: DataFrame) -> DataFrame:
+    """(src, aim): the mean distrust, FULL at most, of the hosts that src's links point at, from links (src, dst, links) and scores (host, distrust)."""
+    met = links.join(small(scores.select(F.col("host").alias("dst"), F.least("distrust", F.lit(FULL)).alias("held")), BROADCAST_HOSTS), "dst", "left")
+    return met.groupBy("src").agg(F.expr("sum(cast(links as decimal(19, 0)) * cast(coalesce(held, 0) as decimal(18, 0))) div sum(links)").cast("long").alias("aim"))
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, html: str = "html", steps: int = STEPS, block_at: int = BLOCK_AT) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust (the host's scores)."""
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -97,7 +108,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, html: str = "html", s
     forward = between.join(share("src"), F.col("src") == F.col("from")).select("src", "dst", F.lit(0).alias("kind"), F.expr(f"links * {SHARE} div all_links").alias("share"))
     back = between.join(share("dst"), F.col("dst") == F.col("from")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("kind"), F.expr(f"links * {SHARE} div all_links").alias("share"))
     ranks = propagate(seeds, stage(forward.unionByName(back), "links"), steps)
-    table = stage(ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0)).cast("long").alias(c) for k, c in ((0, "trust"), (1, "distrust")))), "hosts")
+    table = stage(ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0)).cast("long").alias(c) for k, c in ((0, "trust"), (1, "distrust")))), "scores")
+    table = stage(table.join(aimed(between, table), F.col("host") == F.col("src"), "left").select("host", "trust", "distrust", F.greatest("distrust", "aim").alias("evidence")), "hosts")
     judged = named.join(small(table, BROADCAST_HOSTS), "host", "left")
-    own = F.when((F.col("distrust") >= block_at) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    own = F.when((F.col("evidence") >= block_at) & (F.col("evidence") > F.col("trust")), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "trust", "distrust")

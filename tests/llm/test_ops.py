@@ -488,6 +488,16 @@ def test_trust_follows_links(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_farms_are_blocked(spark):
+    """Hosts that only link to a blocked host are blocked, one or many; a few bad links among others and links to what everybody links to block nobody."""
+    page = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
+    data = [("http://bad.com/en/1", page("fine.fr")), ("http://lone.com/en/1", ""), ("http://farm.io/", page("lone.com")), ("http://fine.fr/", ""), *((f"http://farm{i}.io/", page("bad.com")) for i in range(30))]
+    data += [("http://blog.fr/", page(*["fine.fr"] * 9, "bad.com")), ("http://fan.fr/", page("fine.fr")), ("http://kept.net/de/1", page("seen.io")), ("http://seen.io/", page("lone.com", "fine.fr"))]
+    pages = spark.createDataFrame([(i, *x) for i, x in enumerate(data)], "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in urls.judge(pages).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"bad.com", "lone.com", "farm.io", *(f"farm{i}.io" for i in range(30))}
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------------
 
 
