@@ -3,7 +3,8 @@
 Hosts are nodes; an edge (source host, target host) has the share of the source's outgoing links that point at the
 target. Trust is personalised PageRank from hosts in proportion to their share of pages that rules allow; distrust is
 the same from blocked pages over reversed edges, so that hosts linking to bad hosts become suspect. Scores are integers
-in units of 2 ** -40 and edge shares in units of 2 ** -20, so sums do not depend on their order and reruns agree. Pages
+in units of 2 ** -40 and edge shares in units of 2 ** -20, so sums do not depend on their order and reruns agree. Steps
+are taken until no score changes by TOLERANCE; scores only ever grow and are bounded, so that comes. Pages
 without a rule take their host's verdict: blocked if its evidence reaches the threshold and exceeds trust. Evidence is the
 host's distrust or, where that is more, the mean distrust of the hosts that its links point at, each counted up to what a
 host with blocked pages only has of itself. Reversed links divide a host's distrust among all that link to it, so a farm's
@@ -33,11 +34,13 @@ RULES: tuple[Rule, ...] = (
     ("block", "org", "/es/"),
 )
 UNIT, SHARE = 2**40, 2**20
-#: Damping as 17 / 20, a fixed number of steps, and the share of UNIT at which evidence blocks a host.
+#: Damping as 17 / 20, the number of steps that the SQL writes out, and the share of UNIT at which evidence blocks a host.
 DAMP_UP, DAMP_DOWN, STEPS = 17, 20, 6
 BLOCK_AT = UNIT * 3 // 20 * 9 // 10
 #: The distrust of a host whose pages are all blocked, without what its links bring.
 FULL = UNIT * (DAMP_DOWN - DAMP_UP) // DAMP_DOWN
+#: Propagation ends when no score changes by so much in STRIDE steps, after which it is staged and compared.
+TOLERANCE, STRIDE = UNIT // 1_000_000, 3
 BROADCAST_HOSTS = 200_000
 URL = "://([^/?#]*)([^?#]*)"
 HREF = r'href\s*=\s*"([^"]*)"'
@@ -73,21 +76,25 @@ def edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return found.where((F.col("dst") != "") & (F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(host, kind, score) from seeds (host, kind, seed) over links (src, dst, kind, share).
+def propagate(seeds: DataFrame, links: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """(host, kind, score) from seeds (host, kind, seed) over links (src, dst, kind, share), when no score changes by tolerance any more.
 
     Each step is one join and one sum by (kind, host); what dangling hosts hold is not redealt. The rows of a step are
     pre-summed before the shuffle, so a host that very many link to costs one row a task.
     """
-    if steps < 1 or links.isEmpty():
-        return seeds.select("host", "kind", F.expr(f"seed * {DAMP_DOWN - DAMP_UP} div {DAMP_DOWN}").alias("score"))
     start = seeds.select("host", "kind", F.expr(f"seed * {DAMP_DOWN - DAMP_UP} div {DAMP_DOWN}").alias("score"))
-    now = start
-    for step in range(steps):
-        moved = now.join(links, (now["host"] == links["src"]) & (now["kind"] == links["kind"])).select(F.col("dst").alias("host"), now["kind"], F.expr(f"(score * share div {SHARE}) * {DAMP_UP} div {DAMP_DOWN}").alias("score"))
-        now = start.unionByName(moved).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if step % 3 == 2:
-            now = stage(now, "rank")
+    if links.isEmpty():
+        return start
+    now = start = stage(start, "rank")
+    change = tolerance = max(1, tolerance)
+    while change >= tolerance:
+        before = now
+        for _ in range(STRIDE):
+            moved = now.join(links, (now["host"] == links["src"]) & (now["kind"] == links["kind"])).select(F.col("dst").alias("host"), now["kind"], F.expr(f"(score * share div {SHARE}) * {DAMP_UP} div {DAMP_DOWN}").alias("score"))
+            now = start.unionByName(moved).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+        now = stage(now, "rank")
+        grown = now.unionByName(before.withColumn("score", -F.col("score"))).groupBy("host", "kind").agg(F.sum("score").alias("change"))
+        change = grown.agg(F.coalesce(F.max("change"), F.lit(0))).first()[0]
     return now
 
 
@@ -97,7 +104,7 @@ def aimed(links: DataFrame, scores: DataFrame) -> DataFrame:
     return met.groupBy("src").agg(F.expr("sum(cast(links as decimal(19, 0)) * cast(coalesce(held, 0) as decimal(18, 0))) div sum(links)").cast("long").alias("aim"))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, html: str = "html", steps: int = STEPS, block_at: int = BLOCK_AT) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, html: str = "html", tolerance: int = TOLERANCE, block_at: int = BLOCK_AT) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust (the host's scores)."""
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     named = named.withColumn("rule", matched(rules, lambda r: r[1] + r[2])).withColumn("rule_verdict", matched(rules, lambda r: r[0]))
@@ -107,7 +114,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, html: str = "html", s
     share = lambda by: between.groupBy(by).agg(F.sum("links").alias("all_links")).withColumnRenamed(by, "from")
     forward = between.join(share("src"), F.col("src") == F.col("from")).select("src", "dst", F.lit(0).alias("kind"), F.expr(f"links * {SHARE} div all_links").alias("share"))
     back = between.join(share("dst"), F.col("dst") == F.col("from")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("kind"), F.expr(f"links * {SHARE} div all_links").alias("share"))
-    ranks = propagate(seeds, stage(forward.unionByName(back), "links"), steps)
+    ranks = propagate(seeds, stage(forward.unionByName(back), "links"), tolerance)
     table = stage(ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0)).cast("long").alias(c) for k, c in ((0, "trust"), (1, "distrust")))), "scores")
     table = stage(table.join(aimed(between, table), F.col("host") == F.col("src"), "left").select("host", "trust", "distrust", F.greatest("distrust", "aim").alias("evidence")), "hosts")
     judged = named.join(small(table, BROADCAST_HOSTS), "host", "left")

@@ -498,6 +498,28 @@ def test_farms_are_blocked(spark):
     assert {h for h, v in got.items() if v == "block"} == {"bad.com", "lone.com", "farm.io", *(f"farm{i}.io" for i in range(30))}
 
 
+def test_trust_converges(spark):
+    """A ring of hosts settles at its closed form and is blocked; a graph with cycles at the solution of its linear equations."""
+    page = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
+    ring = [(f"http://r{i}.com/{'en' if k < 3 else 'xx'}/{k}", page(f"r{(i + 1) % 6}.com") if k == 19 else "") for i in range(6) for k in range(20)]
+    pages = spark.createDataFrame([(i, *x) for i, x in enumerate(ring)], "page_id long, url string, html string")
+    free = urls.judge(pages).where("rule is null").collect()
+    assert len(free) == 6 * 17 and {r.verdict for r in free} == {"block"} and all(r.distrust / urls.UNIT == pytest.approx(0.15, abs=1e-5) for r in free)
+    r = random.Random(11)
+    n = 12
+    data = [(f"http://h{i}.{'com/en' if i < 2 else 'net/de' if i < 4 else 'fr/x'}/", [r.randrange(n) for _ in range(4)] + [(i + 1) % n]) for i in range(n)]
+    name = [u.split("/")[2] for u, _ in data]
+    pages = spark.createDataFrame([(i, u, page(*(name[t] for t in to))) for i, (u, to) in enumerate(data)], "page_id long, url string, html string")
+    links = np.zeros((n, n))
+    for i, (_, to) in enumerate(data):
+        for t in to:
+            links[i, t] += t != i
+    got = {r.host: r for r in urls.judge(pages).collect()}
+    for kind, a, seeds in (("trust", links, (2, 3)), ("distrust", links.T, (0, 1))):
+        want = np.linalg.solve(np.eye(n) - 0.85 * (a / np.maximum(a.sum(1, keepdims=True), 1)).T, [0.15 * (i in seeds) for i in range(n)])
+        assert [got[h][kind] / urls.UNIT for h in name] == pytest.approx(want, abs=2e-5)
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------------
 
 
