@@ -43,7 +43,9 @@ FULL = UNIT * (DAMP_DOWN - DAMP_UP) // DAMP_DOWN
 TOLERANCE, STRIDE = UNIT // 1_000_000, 3
 BROADCAST_HOSTS = 200_000
 URL = "://([^/?#]*)([^?#]*)"
+#: The SQL's links, in lower case and double quotes, and those of edges(): any case, in double, single or no quotes.
 HREF = r'href\s*=\s*"([^"]*)"'
+LINK = r"""(?i)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
 
 
 def lowered(c: Column) -> Column:
@@ -70,7 +72,9 @@ def matched(rules: Sequence[Rule], value) -> Column:
 
 def edges(pages: DataFrame, html: str = "html") -> DataFrame:
     """(src, dst, links) between different hosts, summed over all pages."""
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(HREF), 1)).alias("href"))
+    written = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINK), 0)
+    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.filter(written, lambda x: x.contains("//"))).alias("link"))
+    links = links.select("src", F.concat(*(F.regexp_extract("link", LINK, k) for k in (1, 2, 3))).alias("href"))
     target = F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), F.col("href"))).otherwise(F.col("href"))
     found = links.where(F.col("href").contains("//")).select("src", host_of(target).alias("dst"))
     return found.where((F.col("dst") != "") & (F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))

@@ -498,6 +498,12 @@ def test_farms_are_blocked(spark):
     assert {h for h, v in got.items() if v == "block"} == {"bad.com", "lone.com", "farm.io", *(f"farm{i}.io" for i in range(30))}
 
 
+def test_links_in_any_case_and_quotes(spark):
+    html = """<a href="http://b.fr/"><A HREF = "//c.fr/q"><a class=x Href='https://D.fr/it"s'><a href=http://e.fr/?q=1><a HREF=//f.fr>x</a><a href= '/own' href=other href="" href=''><a href="http://b.fr/'2'">"""
+    pages = spark.createDataFrame([(1, "http://a.fr/", html), (2, "http://b.fr/", "<a href='http://a.fr'>"), (3, "http://c.fr/", None)], "page_id long, url string, html string")
+    assert sorted(map(tuple, urls.edges(pages).collect())) == [("a.fr", "b.fr", 2), ("a.fr", "c.fr", 1), ("a.fr", "d.fr", 1), ("a.fr", "e.fr", 1), ("a.fr", "f.fr", 1), ("b.fr", "a.fr", 1)]
+
+
 def test_trust_converges(spark):
     """A ring of hosts settles at its closed form and is blocked; a graph with cycles at the solution of its linear equations."""
     page = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
