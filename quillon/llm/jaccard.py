@@ -10,7 +10,8 @@ ever listed to drop repeats: sums of links by set and a spanning forest leave a
 large for one task are compared in pairs of blocks.
 
 Edge cases: null and empty texts have no shingles, are a class of their own and have no links; texts of less than five words have
-one shingle, all their words; repeated rows and equal texts are copies and link to each other; null ids are carried along;
+one shingle, all their words; repeated rows and equal texts are copies and link to each other; null ids count as the
+largest; a set's text is found again by a hash of id and text, so rows may lack or share ids;
 an empty table gives an empty result; other columns do not matter.
 """
 
@@ -20,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import stage
@@ -72,8 +73,13 @@ def path_keys(s: np.ndarray, seeds: np.ndarray, threshold: float) -> np.ndarray:
     return np.unique(mix(h[run, at] ^ seeds[run])).view(np.int64)
 
 
+def row_key(text: str = "text") -> Column:
+    """A hash of a row's id and text; it also tells apart rows that lack or share an id."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col(text))
+
+
 def describe(docs: DataFrame, text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, sid, n, sketch, keys of every document."""
+    """doc_id, row_key, sid, n, sketch, keys of every document."""
     seeds = mix(np.arange(1, n_runs(threshold, recall) + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches):
@@ -85,15 +91,16 @@ def describe(docs: DataFrame, text: str = "text", size: int = SIZE, threshold: f
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([set_id(s) for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([sketch(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                         pa.array([path_keys(s, seeds, threshold) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "sid", "n", "sketch", "keys"],
+                    names=["doc_id", "row_key", "sid", "n", "sketch", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, sid binary, n int, sketch binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text).alias("row_key")).mapInArrow(run, "doc_id long, row_key long, sid binary, n int, sketch binary, keys array<long>")
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -238,18 +245,15 @@ def _roots(adjacent: np.ndarray) -> np.ndarray:
     return root
 
 
-def join(docs: DataFrame, text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, copy_id, n_shingles.
-
-    class_id is the smallest id of the documents connected by links, n_links the number of other documents at or above the
-    threshold, copies included, copy_id the smallest id among texts with the same shingles.
-    """
+def _linked(docs: DataFrame, text: str, size: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """What describe() gives, and (sid, rep, row_key, n_links, group_id, lead) of each set: its first row, its group's smallest id and first row's key."""
     described = stage(describe(docs, text, size, threshold, recall), "described")
     sets = described.where("n > 0")
-    classes = stage(sets.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
+    classes = sets.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row_key")).alias("first"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    classes = stage(classes.withColumn("rep", F.col("first.doc_id")).withColumn("row_key", F.col("first.row_key")), "classes")
     members = stage(buckets(classes).select("bucket", "sid", "size").distinct(), "buckets")
     lists = members.groupBy("sid").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-    own = stage(lists.join(classes.select("sid", "rep", "weight", "sketch"), "sid"), "own")
+    own = stage(lists.join(classes.select("sid", "row_key", "weight", "sketch"), "sid"), "own")
 
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     dealt = members.withColumn("blocks", F.when(F.col("size") > LIMIT, blocks).otherwise(1)).withColumn("block", F.pmod(F.xxhash64("sid", "bucket"), F.col("blocks")).cast("int"))
@@ -259,16 +263,16 @@ def join(docs: DataFrame, text: str = "text", size: int = SIZE, threshold: float
     needed = stage(rows.mapInArrow(_prune, "bucket long, lo int, hi int, block int, sid binary"), "needed")
 
     # Only texts that still have a partner are read again, once each, and meet in their buckets with all their shingles.
-    wanted = needed.groupBy("sid").agg(F.collect_list(F.struct("bucket", "lo", "hi", "block")).alias("places")).join(own.select("sid", "rep", "weight", "buckets"), "sid")
-    texts = wanted.join(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text")), "rep")
+    wanted = needed.groupBy("sid").agg(F.collect_list(F.struct("bucket", "lo", "hi", "block")).alias("places")).join(own.select("sid", "row_key", "weight", "buckets"), "sid")
+    texts = wanted.join(docs.select(row_key(text).alias("row_key"), F.col(text).alias("text")), "row_key")
 
     def expand(batches):
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 sets = [shingles(hashes.of(spaced(t)), size) for t in part.column("text").to_pylist()]
-                good = pa.array([set_id(s) == sid for s, sid in zip(sets, part.column("sid").to_pylist(), strict=True)])
+                good = pa.array([set_id(s) == sid and sid not in seen and not seen.add(sid) for s, sid in zip(sets, part.column("sid").to_pylist(), strict=True)], pa.bool_())
                 yield part.drop_columns("text").append_column("members", pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())).filter(good)
 
     texts = texts.select("sid", "weight", "buckets", "places", "text").mapInArrow(expand, "sid binary, weight long, buckets array<long>, places array<struct<bucket:bigint,lo:int,hi:int,block:int>>, members binary")
@@ -278,18 +282,34 @@ def join(docs: DataFrame, text: str = "text", size: int = SIZE, threshold: float
 
     links = met.groupBy("sid").agg(F.sum("links").alias("links"))
     roots = components(met.select(F.col("sid").alias("a"), F.col("peer").alias("b")))
-    named = roots.join(classes.select(F.col("sid").alias("node"), "rep"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("group_id")), "root").select(F.col("node").alias("sid"), "group_id")
-    table = classes.select("sid", "rep", "weight").join(links, "sid", "left").join(named, "sid", "left")
-    table = table.select("sid", "rep", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("group_id", "rep").alias("group_id"))
-    out = described.select("doc_id", "sid", "n").join(table, "sid", "left")
+    named = roots.join(classes.select(F.col("sid").alias("node"), "first"), "node")
+    named = named.join(named.groupBy("root").agg(F.min(F.struct("first.bare", "first.doc_id", "node", "first.row_key")).alias("lead")), "root").select(F.col("node").alias("sid"), "lead")
+    table = classes.select("sid", "rep", "row_key", "weight").join(links, "sid", "left").join(named, "sid", "left")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+    return described, table.select("sid", "rep", "row_key", n_links, F.coalesce("lead.doc_id", "rep").alias("group_id"), F.coalesce("lead.row_key", "row_key").alias("lead"))
+
+
+def join(docs: DataFrame, text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, copy_id, n_shingles.
+
+    class_id is the smallest id of the documents connected by links, n_links the number of other documents at or above the
+    threshold, copies included, copy_id the smallest id among texts with the same shingles.
+    """
+    described, table = _linked(docs, text, size, threshold, recall)
+    out = described.select("doc_id", "sid", "n").join(table.select("sid", "rep", "n_links", "group_id"), "sid", "left")
     some = F.col("n") > 0
     own = lambda c: F.when(some, F.col(c)).otherwise(F.col("doc_id"))
     return out.select("doc_id", own("group_id").alias("class_id"), F.when(some, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), own("rep").alias("copy_id"), F.col("n").cast("long").alias("n_shingles"))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents with the smallest id of each class, with their columns; rows with the same id stay or go together."""
-    keep = join(docs, text, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.join(keep, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+def one_of_each(docs: DataFrame, text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of each class, with its columns: that with the smallest id, null last, then set; rows without shingles all stay."""
+    described, table = _linked(docs, text, size, threshold, recall)
+    times = described.groupBy("row_key").agg(F.count(F.when(F.col("n") > 0, 1)).alias("times"))
+    keep = stage(times.where("times = 0").unionByName(times.join(table.where("row_key = lead").select("row_key"), "row_key")), "keep")
+    rows = docs.select(row_key(text).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    chosen = lambda many: rows.join(keep.where(F.col("times") > 1 if many else F.col("times") <= 1), F.col("key") == F.col("row_key"), "left_semi")
+    kept = chosen(False).select("row")
+    if not keep.where("times > 1").isEmpty():  # the same id and text in several rows
+        kept = kept.unionByName(chosen(True).groupBy("key", "row.doc_id", f"row.`{text}`").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row"))
+    return kept.select("row.*")

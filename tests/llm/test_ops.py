@@ -164,6 +164,18 @@ def test_near_duplicates(docs, rows):
     assert {r[0] for r in brute_jaccard(rows) if r[0] == r[1]} == set(ids)
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows that lack or share an id are linked as others are, and one row of each class is kept."""
+    words = [f"v{i}" for i in range(100)]
+    near = lambda k: " ".join([*words[:-1], f"end{k}"])
+    lone, other = " ".join(f"z{i}" for i in range(20)), " ".join(f"y{i}" for i in range(20))
+    rows = [(None, near(0)), (None, near(0)), (None, near(1)), (3, near(2)), (None, lone), (None, lone), (7, other), (7, near(3)), (8, other), (None, ""), (None, None)]
+    docs = stage(table(spark, rows), "test")
+    assert collections.Counter(tuple(r) for r in jaccard.join(docs).collect()) == collections.Counter(brute_jaccard(rows))
+    kept = collections.Counter((r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect())
+    assert kept == collections.Counter([(3, near(2)), (None, lone), (7, other), (None, ""), (None, None)])
+
+
 def test_large_buckets_are_split_and_dealt_in_blocks(spark, monkeypatch):
     """With small limits, groups go through splits and pairs of blocks and still lose nothing."""
     r = random.Random(5)
