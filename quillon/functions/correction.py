@@ -151,10 +151,23 @@ def adjust(df: DataFrame, method: str | None, p: str = "p_value", out: str = "ad
 
 def lambda_curve(df: DataFrame, p: str = "p_value") -> DataFrame:
     """(lambda, n_above, pi0): p-values above each lambda and the share of true nulls they suggest; one aggregate."""
+    return _curve(df, p).drop("m")
+
+
+def pi0_bootstrap(df: DataFrame, p: str = "p_value") -> DataFrame:
+    """(pi0) in one row: the estimate of the curve with the least mean squared error against its lower decile; 1 without p-values."""
+    curve = _curve(df, p)
+    met = curve.crossJoin(curve.agg(F.percentile("pi0", 0.1).alias("low")))
+    spread = F.try_divide(F.col("n_above"), F.pow("m", F.lit(2)) * F.pow(1 - F.col("lambda"), F.lit(2))) * (1 - F.try_divide(F.col("n_above"), F.col("m")))
+    best = F.min(F.struct((spread + F.pow(F.col("pi0") - F.col("low"), F.lit(2))).alias("error"), F.col("pi0")))
+    return met.agg(best.alias("best")).select(F.least(F.lit(1.0), F.coalesce("best.pi0", F.lit(1.0))).alias("pi0"))
+
+
+def _curve(df: DataFrame, p: str) -> DataFrame:
     v = tested(F.col(p))
     row = df.agg(F.count(v).alias("m"), *(F.count_if(v > x).alias(f"c{i}") for i, x in enumerate(LAMBDAS)))
     pairs = F.array(*(F.struct(F.lit(float(x)).alias("lambda"), F.col(f"c{i}").alias("n_above")) for i, x in enumerate(LAMBDAS)))
-    return row.select("m", F.explode(pairs).alias("x")).select("x.lambda", "x.n_above", F.try_divide(F.col("x.n_above"), F.col("m") * (1 - F.col("x.lambda"))).alias("pi0"))
+    return row.select("m", F.explode(pairs).alias("x")).select("m", "x.lambda", "x.n_above", F.try_divide(F.col("x.n_above"), F.col("m") * (1 - F.col("x.lambda"))).alias("pi0"))
 
 
 def pi0_of(values: DataFrame, m: int) -> float:

@@ -86,6 +86,7 @@ def oracle_sql() -> dict[str, str]:
         "fit_status_counts": f"""with {stats(where="not (ends_with(protein_id, '5') and condition = 'mid' and peptide_id = 'ECONOMY')")} select fit_status, count(*) n from p group by all""",
         "adjust_hommel_within": p + HOMMEL,
         "pi0_lambda_curve": f"{p}, l as (select unnest([{', '.join(repr(float(x)) for x in LAMBDAS)}]) lam), m as (select count(raw_p_value) m from p) select round(lam, 2) \"lambda\", (select count(*) from p where raw_p_value > lam) n_above, round((select count(*) from p where raw_p_value > lam) / (m * (1 - lam)), 6) pi0 from l, m",
+        "pi0_bootstrap": f"{p}, l as (select unnest([{', '.join(repr(float(x)) for x in LAMBDAS)}]) lam), m as (select count(raw_p_value) m from p), b_counts as (select lam, m, (select count(*) from p where raw_p_value > lam) n from l, m), b_curve as (select *, n / (m * (1 - lam)) pi0 from b_counts), b_errors as (select pi0, n / (m::double * m * (1 - lam) * (1 - lam)) * (1 - n / m) + power(pi0 - (select quantile_cont(pi0, 0.1) from b_curve), 2) error from b_curve) select round(least(1.0, coalesce((select pi0 from b_errors order by error, pi0 limit 1), 1.0)), 6) pi0",
         "discordance_wls": f"with {stats(TIERS)}, q as ({adjusted('bonferroni', 'protein_id')}), x as (select protein_id, peptide_id, raw_p_value, fit_status, a within_p_value from q), y as ({adjusted('fdr_bh', '', 'x', 'within_p_value')}) select {key}, round(raw_p_value, 6) raw_p_value, round(within_p_value, 6) within_p_value, round(a, 6) adjusted_p_value, coalesce(a <= {CONFIG.fdr}, false) is_discordant, fit_status from y",
         "condition_profiles": f"with {NORMAL} select protein_id, peptide_id, condition, round(median(v), 6) + 0 \"value\" from n group by all",
         "dpf_assignment": f"{p}, l as (select {key}, raw_p_value < 0.3 is_discordant, case when peptide_id < 'L' then 1 when peptide_id < 'Q' then 2 else 3 end::bigint cluster_id from p), gr as (select protein_id, cluster_id, count(*) n, bool_or(is_discordant) hit from l group by all), u as (select protein_id, cluster_id, case when not hit then 0 when n = 1 then -1 else sum((hit and n > 1)::int) over (partition by protein_id order by cluster_id) end::bigint dpf_id from gr) select {key}, is_discordant, cluster_id, dpf_id from l join u using (protein_id, cluster_id)",

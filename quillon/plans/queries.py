@@ -198,6 +198,10 @@ def pi0_lambda_curve(spark, sf_dir):
     return got.select(F.round("lambda", 2).alias("lambda"), "n_above", rounded("pi0").alias("pi0"))
 
 
+def pi0_bootstrap(spark, sf_dir):
+    return correction.pi0_bootstrap(pvalues(spark, sf_dir), "raw_p_value").select(rounded("pi0").alias("pi0"))
+
+
 def discordance_wls(spark, sf_dir):
     got = stages.run_discordance(prepared(spark, sf_dir)).table
     return got.select(PROTEIN, PEPTIDE, *(rounded(c).alias(c) for c in ("raw_p_value", "within_p_value", "adjusted_p_value")), "is_discordant", "fit_status")
@@ -285,7 +289,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain_ones = (
         scan_project_filter, harmonize_rename_cast, protein_group_resolve, attach_conditions, scope_audit, duplicate_keys, min_peptide_offenders, intensity_audit,
         provenance_join, provenance_anti_missing, provenance_anti_extra, weight_tiers, sample_stats, normalize_long, peptide_codes, protein_ordinal,
-        wls_cells, wls_stat, wls_pvalue, wls_weighted_pvalue, fit_status_counts, pi0_lambda_curve, discordance_wls, discordance_rlm,
+        wls_cells, wls_stat, wls_pvalue, wls_weighted_pvalue, fit_status_counts, pi0_lambda_curve, pi0_bootstrap, discordance_wls, discordance_rlm,
         condition_profiles, profile_distances, silhouette_given_labels, dpf_assignment, dpf_counts,
         fasta_header_parse, sequence_validity, molecular_weight, fasta_skip_counts, analysis_end_to_end,
     )

@@ -292,3 +292,18 @@ def test_stream_of_studies(spark, peptides, tmp_path):
         warnings.simplefilter("ignore")
         discordance_stream(stream, config(), lambda df, n: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination(120)
     assert seen == [8]
+
+
+def test_pi0_bootstrap(spark):
+    """The registered query's method against the vector's, and registered with SQL."""
+    import __spark_entry__
+    from quillon.functions import correction
+    from quillon.functions.qvalue import LAMBDAS, bootstrap
+
+    assert "pi0_bootstrap" in __spark_entry__.queries() and "pi0_bootstrap" in __spark_entry__.oracle_sql()
+    r = np.random.default_rng(4)
+    for p in (np.concatenate([r.random(700), r.random(300) ** 4]), r.random(40)):
+        counts = (p[:, None] > LAMBDAS).sum(0)
+        got = correction.pi0_bootstrap(spark.createDataFrame([(float(x),) for x in p] + [(None,)], "p_value double")).collect()
+        assert [x.pi0 for x in got] == pytest.approx([bootstrap(counts / (len(p) * (1 - LAMBDAS)), counts, len(p))])
+    assert correction.pi0_bootstrap(spark.createDataFrame([], "p_value double")).first().pi0 == 1.0
