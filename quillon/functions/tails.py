@@ -2,71 +2,71 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TINY, _EPS, _STEPS = 1e-300, 1e-16, 600
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """The continued fraction of the incomplete beta function, by the modified Lentz method."""
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > _TINY else _TINY)
-    h = d
-    for m in range(1, _STEPS):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d, c = 1.0 + term * d, 1.0 + term / c
-            d = 1.0 / (d if abs(d) > _TINY else _TINY)
-            c = c if abs(c) > _TINY else _TINY
-            h *= d * c
-        if abs(d * c - 1.0) < _EPS:
+#: A fraction has settled when a convergent differs from the one before by so little; most terms.
+SETTLED, MOST_TERMS = 1e-16, 20_000
+
+
+def continued_fraction(terms: Iterable[tuple[float, float]]) -> float:
+    """a1 / (b1 + a2 / (b2 + ...)) from the terms (a, b), by the recurrence of the convergents' numerators and denominators.
+
+    Both are scaled by the denominator after every term, so that neither overflows.
+    """
+    tops, bottoms, value = (1.0, 0.0), (0.0, 1.0), math.nan
+    for a, b in itertools.islice(terms, MOST_TERMS):
+        top, bottom = b * tops[1] + a * tops[0], b * bottoms[1] + a * bottoms[0]
+        if bottom == 0.0:
+            tops, bottoms = (tops[1], top), (bottoms[1], bottom)
+            continue
+        tops, bottoms = (tops[1] / bottom, top / bottom), (bottoms[1] / bottom, 1.0)
+        last, value = value, tops[1]
+        if abs(value - last) <= SETTLED * abs(value):
             break
-    return h
+    return value
+
+
+def _beta_terms(a: float, b: float, x: float) -> Iterator[tuple[float, float]]:
+    """The fraction of B_x(a, b) a / (x^a (1 - x)^b)."""
+    yield 1.0, 1.0
+    for k in itertools.count():
+        yield -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1)), 1.0
+        yield (k + 1) * (b - k - 1) * x / ((a + 2 * k + 1) * (a + 2 * k + 2)), 1.0
+
+
+def _gamma_terms(a: float, x: float) -> Iterator[tuple[float, float]]:
+    """The fraction of Gamma(a, x) e^x / x^a."""
+    yield 1.0, x + 1 - a
+    for k in itertools.count(1):
+        yield k * (a - k), x + 2 * k + 1 - a
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
     """The regularized incomplete beta function I_x(a, b)."""
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    if not 0.0 < x < 1.0:
+        return float(x >= 1.0)
+    scale = math.exp(a * math.log(x) + b * math.log1p(-x) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)))
+    if x * (a + b + 2.0) < a + 1.0:  # where the fraction settles soon; else that of the other tail does
+        return scale / a * continued_fraction(_beta_terms(a, b, x))
+    return 1.0 - scale / b * continued_fraction(_beta_terms(b, a, 1.0 - x))
 
 
 def gamma_upper(a: float, x: float) -> float:
     """The regularized upper incomplete gamma function Q(a, x)."""
     if x <= 0.0:
         return 1.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1.0:  # the series of the lower function
-        term = total = 1.0 / a
-        for n in range(1, _STEPS * 10):
-            term *= x / (a + n)
-            total += term
-            if term < total * _EPS:
-                break
-        return 1.0 - front * total
-    b = x + 1.0 - a
-    c, d = 1.0 / _TINY, 1.0 / b
-    h = d
-    for n in range(1, _STEPS * 10):
-        step = -n * (n - a)
-        b += 2.0
-        d = step * d + b
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = b + step / c
-        c = c if abs(c) > _TINY else _TINY
-        h *= d * c
-        if abs(d * c - 1.0) < _EPS:
-            break
-    return front * h
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x >= a + 1.0:
+        return scale * continued_fraction(_gamma_terms(a, x))
+    powers = itertools.accumulate(itertools.count(1), lambda term, k: term * x / (a + k), initial=1.0 / a)
+    return 1.0 - scale * math.fsum(itertools.takewhile(lambda term: term > SETTLED / a, powers))
 
 
 def sf_f(stat: float, d1: float, d2: float) -> float:

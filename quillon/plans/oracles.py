@@ -53,7 +53,7 @@ ENTRIES = r"""k0 as (select *, p_partkey k, 'P' || lpad(p_partkey::varchar, 5, '
 en as (select k, case when k % 2 = 0 then 'sp' else 'tr' end || case when k % 11 = 0 then ' ' else '|' end || acc || '|' || acc || '_X ' || p_name || ' OS=Homo sapiens OX=' || p_size || case when k % 5 = 0 then '' else ' GN=G' || k end || ' PE=' || k % 5 || ' SV=x' header,
 case when k % 3 = 0 then substr(letters, 1, 5) when k % 4 = 0 then regexp_replace(letters, '[OUBZJX]', 'G', 'g') else letters || case when k % 10 = 1 then '*' else '' end end sequence from k0)"""
 PARSED = r""", h0 as (select *, string_split(header, '|') q from en), h1 as (select *, len(q) >= 3 and trim(q[2]) <> '' good, array_to_string(q[3:], '|') rest from h0),
-h as (select *, case when instr(rest, ' ') > 0 then substr(rest, instr(rest, ' ') + 1) else '' end txt from h1)"""
+h as (select *, case when instr(rest, ' ') > 0 then substr(rest, instr(rest, ' ') + 1) else '' end txt, coalesce(string_split(txt, 'OS=')[2], '') sp from h1)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -108,7 +108,7 @@ def oracle_sql() -> dict[str, str]:
     number = lambda t: f"try_cast(nullif(regexp_extract(txt, '{t}=(\\S+)', 1), '') as bigint)"
     fields = {
         "reviewStatus": "case when trim(q[1]) = 'sp' then 'reviewed' else 'unreviewed' end", "entry": "trim(q[2])", "entryName": "string_split(rest, ' ')[1]", "proteinDescription": "nullif(trim(string_split(txt, ' OS=')[1]), '')",
-        "geneName": "nullif(regexp_extract(txt, 'GN=(\\S+)', 1), '')", "organism": "nullif(trim(regexp_extract(txt, 'OS=([^=]+?)(?:\\s+(?:OX|GN|PE|SV)=|$)', 1)), '')", "taxonomyId": number("OX"), "proteinExistence": number("PE"), "sequenceVersion": number("SV"),
+        "geneName": "nullif(regexp_extract(txt, 'GN=(\\S+)', 1), '')", "organism": "nullif(trim(substr(sp, 1, coalesce(list_min([x for x in [instr(sp, ' OX='), instr(sp, ' GN='), instr(sp, ' PE='), instr(sp, ' SV=')] if x > 0]) - 1, length(sp)))), '')", "taxonomyId": number("OX"), "proteinExistence": number("PE"), "sequenceVersion": number("SV"),
     }
     out["fasta_header_parse"] = f"with {ENTRIES}{PARSED} select k, {', '.join(good(x, c) for c, x in fields.items())} from h"
     out["fasta_skip_counts"] = (

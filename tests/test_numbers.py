@@ -11,7 +11,7 @@ from quillon import Config, p_adjust, p_adjust_by_group
 from quillon.errors import ContractError
 from quillon.functions.correction import VALID_METHODS
 from quillon.functions.hommel import hommel
-from quillon.functions.qvalue import LAMBDAS, bootstrap, minimize_bounded, pi0_from_curve, smoothed_end
+from quillon.functions.qvalue import LAMBDAS, bootstrap, least_place, pi0_from_curve, smoothed_end
 from quillon.functions.tails import beta_inc, gamma_upper, sf_chi2, sf_f
 from quillon.operators import ward
 from quillon.operators.rlm import fit_protein
@@ -84,7 +84,7 @@ def test_tails():
 
 def test_spline_end_and_minimum():
     assert smoothed_end(2 - LAMBDAS) == pytest.approx(2 - 0.95, abs=1e-9)  # a line stays a line
-    assert minimize_bounded(lambda x: (x - 3.2) ** 2, 0, 19) == pytest.approx(3.2, abs=1e-5)
+    assert least_place(lambda x: (x - 3.2) ** 2, 0, 19) == pytest.approx(3.2, abs=1e-5)
     rng = np.random.default_rng(1)
     p = np.concatenate([rng.uniform(size=8000), rng.beta(0.2, 5, 2000)])
     counts = np.array([(p > x).sum() for x in LAMBDAS], float)
