@@ -15,21 +15,25 @@ def urls_sql() -> str:
 
     low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lambda x: low(f"regexp_extract(coalesce({x}, ''), '{urls.URL}', 1)")
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    damp = urls.SHARE * urls.DAMP_UP // urls.DAMP_DOWN
     parts = [
         f"named0 as (select page_id, {host('url')} host, regexp_extract(coalesce(url, ''), '{urls.URL}', 2) path from pages)",
         f"named as (select *, {case(lambda v, h, p: h + p)} as rule, {case(lambda v, h, p: v)} rule_verdict from named0)",
         "hosts as (select host, count(*) n, count(*) filter (rule_verdict = 'allow') a, count(*) filter (rule_verdict = 'block') b from named group by host)",
-        f"r0 as (select host, k kind, ((case k when 0 then a else b end * {urls.UNIT}::hugeint // n) * {urls.DAMP_DOWN - urls.DAMP_UP} // {urls.DAMP_DOWN})::hugeint score from hosts, (values (0), (1)) t(k))",
-        f"""e0 as (select {host('url')} src, unnest(regexp_extract_all(coalesce(html, ''), '{urls.HREF}', 1)) href from pages)""",
-        f"e1 as (select src, {host("case when starts_with(href, '//') then 'http:' || href else href end")} dst from e0 where contains(href, '//'))",
-        "e as (select src, dst, count(*) links from e1 where dst <> '' and src <> '' and src <> dst group by all)",
-        f"l as (select src, dst, 0 kind, links * {urls.SHARE} // sum(links) over (partition by src) share from e union all select dst, src, 1, links * {urls.SHARE} // sum(links) over (partition by dst) from e)",
+        f"r0 as materialized (select host, k kind, ((case k when 0 then a else b end * {urls.UNIT}::hugeint // n) * {urls.DAMP_DOWN - urls.DAMP_UP} // {urls.DAMP_DOWN})::hugeint score from hosts, (values (0), (1)) t(k))",
+        f"e0 as (select {host('url')} src, unnest(regexp_extract_all(coalesce(html, ''), {quoted(urls.LINK)})) link from pages)",
+        f"e1 as (select src, regexp_extract(link, {quoted(urls.LINK)}, 1) || regexp_extract(link, {quoted(urls.LINK)}, 2) || regexp_extract(link, {quoted(urls.LINK)}, 3) href from e0)",
+        f"e2 as (select src, {host("case when starts_with(href, '//') then 'http:' || href else href end")} dst from e1 where contains(href, '//'))",
+        "e as materialized (select src, dst, count(*) links from e2 where dst <> '' and src <> '' and src <> dst group by all)",
+        f"l as materialized (select src, dst, 0 kind, links * {damp} // sum(links) over (partition by src) share from e union all select dst, src, 1, links * {damp} // sum(links) over (partition by dst) from e)",
     ]
     for k in range(urls.STEPS):
-        parts.append(f"r{k + 1} as (select host, kind, sum(score)::hugeint score from (select * from r0 union all select dst, r.kind, ((score * share // {urls.SHARE}) * {urls.DAMP_UP} // {urls.DAMP_DOWN})::hugeint from r{k} r join l on r.host = l.src and r.kind = l.kind) group by host, kind)")
-    parts.append(f"h as (select host, coalesce(sum(score) filter (kind = 0), 0) trust, coalesce(sum(score) filter (kind = 1), 0) distrust from r{urls.STEPS} group by host)")
-    own = f"case when distrust >= {urls.BLOCK_AT} and distrust > trust then 'block' else 'allow' end"
-    return "with " + ", ".join(parts) + f" select page_id, named.host, path, rule, coalesce(rule_verdict, {own}) verdict from named left join h on named.host = h.host"
+        parts.append(f"r{k + 1} as (select host, kind, sum(score)::hugeint score from (select * from r0 union all select dst, r.kind, (score * share::hugeint // {urls.SHARE})::hugeint from r{k} r join l on r.host = l.src and r.kind = l.kind) group by host, kind)")
+    parts.append(f"h as materialized (select host, coalesce(sum(score) filter (kind = 0), 0) trust, coalesce(sum(score) filter (kind = 1), 0) distrust from r{urls.STEPS} group by host)")
+    parts.append(f"m as (select src, sum(links::hugeint * least(coalesce(distrust, 0), {urls.FULL})::hugeint)::hugeint // sum(links)::hugeint aim from e left join h on dst = host group by src)")
+    own = f"case when greatest(distrust, coalesce(aim, 0)) >= {urls.BLOCK_AT} and greatest(distrust, coalesce(aim, 0)) > trust then 'block' else 'allow' end"
+    return "with " + ", ".join(parts) + f" select page_id, named.host, path, rule, coalesce(rule_verdict, {own}) verdict from named left join h on named.host = h.host left join m on named.host = m.src"
 
 
 def quality_sql() -> str:

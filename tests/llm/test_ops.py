@@ -7,11 +7,12 @@ import re
 import zipfile
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import components, decontaminate, jaccard, licenses, mixing, quality, substring, tokens, toxicity, urls, warc
+from quillon.llm import components, decontaminate, jaccard, licenses, mixing, oracles, quality, substring, tokens, toxicity, urls, warc
 from quillon.llm.common import shared_path, stage
 from quillon.llm.queries import queries, tokenizer_path
 
@@ -538,6 +539,38 @@ def test_trust_converges(spark):
         assert [got[h][kind] / urls.UNIT for h in name] == pytest.approx(want, abs=2e-5)
 
 
+def test_trust_reaches_hubs(spark):
+    """A host that very many allowed hosts link to gathers all their trust without overflow, and the SQL gives the same verdicts."""
+    for n in (300, 100_000):
+        rows = spark.range(n).selectExpr("id page_id", "concat('http://h', id, '.net/de/') url", "'<a href=\"https://hub.org/\">' html")
+        pages = rows.unionByName(spark.createDataFrame([(n, "http://hub.org/", "<a href='//bad.com'>"), (n + 1, "http://bad.com/en/", ""), (n + 2, "http://fan.io/", "<a href=http://bad.com>")], "page_id long, url string, html string"))
+        got = {r.host: r for r in urls.judge(pages).where(f"page_id >= {n}").collect()}
+        assert got["hub.org"].trust / urls.UNIT == pytest.approx(n * 0.15 * 0.85, rel=1e-6)
+        assert got["bad.com"].trust / urls.UNIT == pytest.approx(n * 0.15 * 0.85**2, rel=1e-6)
+        assert got["fan.io"].verdict == "block" and got["hub.org"].verdict == "allow"
+
+
+def test_trust_is_its_sql(spark, tmp_path):
+    """Verdicts of a random host graph agree with the SQL, which finds the links and walks over them on its own; links decide some of them."""
+    r = random.Random(3)
+    hosts = [f"h{i}.{r.choice(['com', 'net', 'fr', 'io', 'org'])}" for i in range(60)]
+    path = lambda h: r.choice({"com": ["/en/1", "/x"], "net": ["/de/1", "/x"], "org": ["/es/", "/x"]}.get(h.split(".")[1], ["/x"]))
+    quote = lambda x: r.choice([f'href="{x}"', f"HREF = '{x}'", f"Href={x} "])
+    data = []
+    for i in range(400):
+        h = hosts[int(60 * r.random() ** 2)]
+        data.append((i, f"http://{h}{path(h)}", " ".join(f"<a {quote(r.choice(['http:', 'https:', '']) + '//' + r.choice(hosts) + '/p')}>" for _ in range(r.randint(0, 2)))))
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    want = sorted(con.execute(oracles.urls_sql()).fetchall())
+    got = sorted(map(tuple, urls.judge(pages).select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert got == want
+    alone = {x.page_id: x.verdict for x in urls.judge(pages.withColumn("html", F.lit(""))).collect()}
+    assert sum(alone[x[0]] != x[4] for x in got) >= 5
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------------
 
 
