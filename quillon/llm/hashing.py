@@ -18,14 +18,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """xxh3 of words, of which a bounded number are kept."""
+    """xxh3 of words under a seed, of which a bounded number are kept."""
 
-    def __init__(self, keep: int = 400_000) -> None:
+    def __init__(self, keep: int = 400_000, seed: int = 0) -> None:
         super().__init__()
-        self.keep = keep
+        self.keep, self.seed = keep, seed
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word, self.seed)
         if len(self) < self.keep:
             self[word] = h
         return h

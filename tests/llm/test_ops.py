@@ -116,15 +116,28 @@ def test_automaton_finds_the_smallest_document():
             assert list(automaton.found(query, length)) == want
 
 
-def test_only_smaller_documents_confirm():
+def test_only_smaller_documents_are_reported():
     import pyarrow as pa
 
     words = b" ".join(b"w%d" % i for i in range(20))
-    rows = lambda *x: pa.RecordBatch.from_pydict({"shard": [1] * len(x), "copy": [0] * len(x), "query": [q for q, _, _ in x], "doc_id": [d for _, d, _ in x], "words": [w for _, _, w in x]})
-    confirm = lambda *x: sum(b.num_rows for b in substring._confirm(13)(iter([rows(*x)])))
-    assert confirm((False, 3, words), (True, 4, words)) == 0
-    assert confirm((False, 3, words), (True, 3, words)) == confirm((False, 3, words), (True, 9, words + b" new")) == 1
-    assert confirm((False, 3, words), (True, None, words[:-4])) == 0
+
+    def report(*x):
+        n = len(x)
+        batch = pa.RecordBatch.from_pydict({"shard": [1] * n, "copy": [0] * n, "query": [q for q, _, _ in x], "doc_id": [d for _, d, _ in x], "tag": [0] * n, "start": [100] * n, "words": [w for _, _, w in x]})
+        return [substring._windows([h]).tolist() for b in substring._report(13)(iter([batch])) for h in b.column("hits").to_pylist()]
+
+    assert report((False, 3, words), (True, 4, words)) == [list(range(100, 108))]
+    assert report((False, 3, words), (True, 3, words)) == [] and report((False, 3, words), (True, 9, words + b" new")) == [list(range(100, 108))]
+    assert report((False, 3, words), (True, 9, b"new " + words)) == [list(range(101, 109))]
+    assert report((False, 3, words), (True, None, words[:-4])) == [list(range(100, 107))]
+
+
+def test_windows_with_equal_hashes(spark):
+    """With window hashes of 12 bits most windows meet others that hide their owners; they go round again until all are settled."""
+    rows = random_docs(40, 5) + EDGES[:9] + EDGES[10:]
+    docs = stage(table(spark, rows), "test")
+    got = [tuple(r) for r in substring.deduplicate(docs, text_out=False, bits=12).collect()]
+    assert collections.Counter(got) == collections.Counter(brute_spans(rows, 13))
 
 
 # --- near duplicates ---------------------------------------------------------------------------------------------------
