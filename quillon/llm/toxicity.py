@@ -4,11 +4,13 @@ Voters are lexicons and patterns. A general list of insults is fixed; words and
 induced from training labels. A voter that finds one of its terms votes toxic, else abstains; two patterns vote toxic on
 repeated or dense hits, one votes clean where nothing is found. A generative model over the counts of vote patterns of
 all documents estimates every voter's accuracy by expectation-maximisation and the correlations of voters within a
-class, by which their weights are discounted in the final posterior. A linear classifier is then trained on posterior labels of a bounded sample
-and scores every document in a Spark expression.
+class, by which their weights are discounted in the final posterior. A linear classifier is then trained on posterior labels of a bounded sample.
+It sees whether a text has a word of the fixed list and, in HASHES numbers, how many of its distinct words have each word
+and each beginning of 3, 4 or 5 letters, but not the votes: so it also finds texts of which no voter is sure, and leaves
+texts alone that one voter alone has caught. It scores every document.
 
 Labels serve to induce the lexicons only, from at most SAMPLE labelled training rows, chosen by a hash of their id; the
-language, source, id and label of a document are never inputs of its score.
+language, source, id and label of a document are never inputs of its score. Labels that differ for one id count as toxic.
 
 Edge cases: null and empty texts have no hits and get the lowest score; without labels only the fixed list votes; repeated
 rows score alike; an empty table gives an empty result; texts are read whole; other columns are carried along.
@@ -17,13 +19,14 @@ rows score alike; an empty table gives an empty result; texts are read whole; ot
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +38,10 @@ INSULTS = (
     "idiot", "idiots", "moron", "morons", "stupid", "pathetic", "worthless", "trash", "scum", "loser", "losers", "clown", "clowns",
     "disgusting", "imbecile", "dumb", "dumbass", "bastard", "bitch", "asshole", "fuck", "fucking", "shit", "retard", "vermin", "filth",
 )
-#: Most labelled rows used, most terms of a lexicon, least texts and least precision of a term, most texts the classifier sees.
-SAMPLE, TERMS, SUPPORT, PRECISION, FIT_ROWS = 20_000, 2_000, 6, 0.95, 20_000
+#: Most labelled rows used, most terms of a lexicon, least texts and least precision of a term.
+SAMPLE, TERMS, SUPPORT, PRECISION = 20_000, 2_000, 6, 0.95
+#: Most different texts that the classifier is trained on, half of them likely toxic if there are as many; its hashed inputs, and its ridge.
+FIT_ROWS, HASHES, RIDGE = 6_000, 1 << 15, 1e-3
 PREFIXES = (3, 4, 5)
 KINDS = ("fixed", "word", "start3", "start4", "start5", "often")
 #: Beginnings that count only if a text repeats them: their lengths, and one in so many words must have it, two at least.
@@ -76,17 +81,19 @@ def lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[st
     n = rows.count()
     if n > sample:  # the share of hash slots whose rows come to the bound, less what chance may add
         rows = rows.where(F.col("slot") < int((1 << 20) * max(0.0, sample - 4 * sample**0.5) / n))
-    picked = docs.select("doc_id", "text").join(F.broadcast(rows.select("doc_id", "toxic").dropDuplicates(["doc_id"])), "doc_id")  # at most `sample` rows
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most `sample` rows
     once = picked.groupBy(F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     counted = once.select("text", "toxic").mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     good = counted.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") + 0.5 >= PRECISION * (F.col("toxic") + F.col("clean") + 1)))
-    top = good.orderBy(F.desc("toxic"), "term").limit(TERMS * len(KINDS)).collect()  # a lexicon's size is bounded
+    kind = F.when(F.col("term").startswith("*"), "often").when(F.col("term").endswith(" "), "word").otherwise(F.concat(F.lit("start"), F.length("term") - 1))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("toxic"), "term"))
+    top = good.withColumn("kind", kind).withColumn("rank", rank).where(F.col("rank") <= TERMS).orderBy("kind", "rank").collect()  # a lexicon's size is bounded
     out: dict[str, list[str]] = {k: [] for k in KINDS}
     out["fixed"] = [f" {w} " for w in INSULTS]
     for row in top:
-        kind = "often" if row.term[0] == "*" else "word" if row.term.endswith(" ") else f"start{len(row.term) - 1}"
-        if kind in out and len(out[kind]) < TERMS:
-            out[kind].append(row.term)
+        if row.kind in out:
+            out[row.kind].append(row.term)
     return out
 
 
@@ -138,13 +145,6 @@ def pattern(f: str = "f") -> Column:
     return F.concat_ws(",", *(v.cast("string") for v in votes(f)))
 
 
-def inputs(f: str = "f") -> list[Column]:
-    """What the classifier sees: per kind whether and how often, and the density of hits."""
-    c = lambda k: F.col(f"{f}.{k}").cast("double")
-    hits = F.greatest(*(c(k) for k in KINDS))
-    return [*(F.when(c(k) > 0, 1.0).otherwise(0.0) for k in KINDS), *(F.least(c(k), F.lit(8.0)) / 8 for k in KINDS), F.least(100 * hits / F.greatest(c("n_words"), F.lit(1.0)), F.lit(10.0)) / 10]
-
-
 def label_model(patterns: list[tuple[list[int], float]], rounds: int = 30) -> tuple[list[float], list[dict[int, float]]]:
     """Posterior of toxic for each vote pattern, and the log weights of each voter's votes, from patterns and their counts."""
     v, n = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
@@ -177,63 +177,152 @@ def _discount(hit: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
     return 1 / (1 + total)
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, steps: int = 25) -> np.ndarray:
-    """Weights and intercept of a logistic model for soft labels, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, weight = np.zeros(x.shape[1]), weight / max(weight.sum(), 1e-9)
+class Inputs(dict):
+    """The hashed inputs of words, of which a bounded number are kept: the word itself and its beginnings."""
+
+    def __init__(self, keep: int = 300_000) -> None:
+        super().__init__()
+        self.keep = keep
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        text = word.decode("utf-8", "replace")
+        parts = {f" {text} ", *(f" {text[:n]}" for n in PREFIXES if len(text) >= n)}
+        found = tuple(zlib.crc32(x.encode()) % HASHES for x in sorted(parts))
+        if len(self) < self.keep:
+            self[word] = found
+        return found
+
+    def of(self, text: str | None, wanted: np.ndarray | None = None) -> tuple[bool, np.ndarray, np.ndarray]:
+        """Whether a text has a word of the fixed list, its inputs (only wanted ones, if given) and their values: up to some 100 words, the share of them counts, beyond that too."""
+        words = set(folded_lower(text))
+        ids = np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, words)), np.int64)
+        if wanted is not None:
+            ids = ids[wanted[ids]]
+        ids, count = np.unique(ids, return_counts=True)
+        return not FIXED.isdisjoint(words), ids, np.log1p(100 * count / max(LEAST_WORDS, len(words)))
+
+
+FIXED = frozenset(w.encode() for w in INSULTS)
+#: Texts of fewer distinct words count as if they had so many.
+LEAST_WORDS = 50
+_INPUTS: list[Inputs] = []
+
+
+def _inputs() -> Inputs:
+    """One for each Python process."""
+    if not _INPUTS:
+        _INPUTS.append(Inputs())
+    return _INPUTS[0]
+
+
+def least(f, x: np.ndarray, steps: int = 40, kept: int = 8) -> np.ndarray:
+    """Where a convex function is least, by the limited-memory BFGS method; f gives value and gradient."""
+    moves, value, slope = [], *f(x)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge * w)
-        w = w - step
-        if np.abs(step).max() < 1e-9:
+        way, sizes = slope.copy(), []
+        for s, y in reversed(moves):
+            sizes.append(s @ way / (y @ s))
+            way -= sizes[-1] * y
+        way *= moves[-1][0] @ moves[-1][1] / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1.0, np.abs(slope).sum())
+        for (s, y), size in zip(moves, reversed(sizes), strict=True):
+            way += (size - y @ way / (y @ s)) * s
+        length = 1.0
+        while length > 1e-8 and not (new := f(x - length * way))[0] <= value - 1e-4 * length * (slope @ way):
+            length /= 2
+        if length <= 1e-8:
+            break
+        if (new[1] - slope) @ (-length * way) > 1e-14:
+            moves = [*moves, (-length * way, new[1] - slope)][-kept:]
+        gain = value - new[0]
+        x, value, slope = x - length * way, *new
+        if gain < 1e-6:
             break
-    return w
+    return x
+
+
+def fit_linear(row: np.ndarray, at: np.ndarray, value: np.ndarray, fixed: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """HASHES weights, that of the fixed list and the intercept of a logistic model for soft labels y, from inputs (row, at, value)."""
+    n, weight = len(y), weight / max(weight.sum(), 1e-9)
+    pull = np.concatenate([np.full(HASHES, ridge), [ridge / 100, 0.0]])
+
+    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(row, value * p[at], n) + fixed * p[-2] + p[-1]
+        e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        slope = np.concatenate([np.bincount(at, value * e[row], HASHES), [e @ fixed, e.sum()]])
+        return float(weight @ (np.logaddexp(0, z) - y * z) + pull @ (p * p) / 2), slope + pull * p
+
+    return least(loss, np.concatenate([np.zeros(HASHES + 1), [-2.0]]))
 
 
 @dataclass
 class Model:
-    """Lexicons by kind and the classifier's weights, the last of which is the intercept."""
+    """The classifier: HASHES weights, that of the fixed list and the intercept."""
+
+    weights: np.ndarray
+
+    def score(self, text: Column) -> Column:
+        weights = self.weights.astype(np.float32)
 
-    terms: dict[str, list[str]]
-    weights: list[float]
+        def run(texts: pa.Array) -> pa.Array:
+            wanted, out = weights[:HASHES] != 0, np.zeros(len(texts))
+            for i, t in enumerate(texts):
+                fixed, at, value = _inputs().of(t.as_py(), wanted)
+                out[i] = value @ weights[at].astype(float) + fixed * float(weights[-2]) + float(weights[-1])
+            return pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
-    def counts(self, text: Column) -> Column:
-        return counter(self.terms)(text)
+        return F.arrow_udf(run, "double")(text)
 
-    def score(self, f: str = "f") -> Column:
-        total = F.lit(self.weights[-1])
-        for w, x in zip(self.weights, inputs(f), strict=False):
-            total = total + F.lit(w) * x
-        return 1 / (1 + F.exp(-total))
+
+def _described(batches):
+    """hash, fixed, at, value of texts: the classifier's inputs."""
+    for batch in (b.slice(a, 200) for b in batches for a in range(0, b.num_rows, 200)):
+        got = [_inputs().of(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"hash": batch.column("hash"), "fixed": pa.array([x[0] for x in got]), "at": pa.array([x[1].astype("<u2").tobytes() for x in got], pa.binary()), "value": pa.array([x[2].astype("<f2").tobytes() for x in got], pa.binary())})
 
 
-def fit(counted: DataFrame, terms: dict[str, list[str]], fit_rows: int = FIT_ROWS) -> Model:
-    """The model from counted rows of all documents, in column f."""
-    found = [([int(x) for x in r.pattern.split(",")], float(r.n)) for r in counted.groupBy(pattern().alias("pattern")).agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()]  # at most 2 ** 9 patterns
+def fit(docs: DataFrame, counted: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """The model from the counts (hash of the text, f) of all documents."""
+    patterns = counted.groupBy(pattern().alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    found = [([int(x) for x in r.pattern.split(",")], float(r.n)) for r in patterns.orderBy("pattern").collect()]  # at most 2 ** 9 patterns
     if not found:
-        return Model(terms, [0.0] * (2 * len(KINDS) + 1) + [-4.0])
+        return Model(np.concatenate([np.zeros(HASHES + 1), [-4.0]]))
     posterior, _ = label_model(found)
     of = {",".join(map(str, p)): q for (p, _), q in zip(found, posterior, strict=True)}
-    # Rows with equal inputs are one weighted row; a hash of the inputs picks which of them are seen if they are too many.
-    xs = [x.alias(f"x{i}") for i, x in enumerate(inputs())]
-    distinct = counted.groupBy(pattern().alias("pattern"), *xs).agg(F.count(F.lit(1)).alias("n"))
-    rows = distinct.orderBy(F.xxhash64(*(f"x{i}" for i in range(len(xs))))).limit(fit_rows).collect()
-    x = np.array([[r[f"x{i}"] for i in range(len(xs))] for r in rows], float)
-    return Model(terms, fit_linear(x, np.array([of[r.pattern] for r in rows]), np.array([r.n for r in rows], float)).tolist())
+    likely = sorted(p for p, q in of.items() if q >= 0.5)
+
+    # Equal texts count once; a hash of theirs picks which are seen: half of fit_rows of likely toxic ones at most, others fill up.
+    texts = counted.groupBy("hash").agg(F.first(pattern()).alias("pattern")).withColumn("toxic", F.col("pattern").isin(likely) if likely else F.lit(False))
+    texts = stage(texts, "texts")
+    size = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    some = min(size.get(True, 0), fit_rows // 2)
+    most = {True: some, False: min(size.get(False, 0), fit_rows - some)}
+    chosen = [r for side in sorted(size) for r in texts.where(F.col("toxic") == side).orderBy(F.xxhash64("hash"), "hash").limit(most[side]).collect()]
+    label = {r.hash: of[r.pattern] for r in chosen}
+    share = {r.hash: size[r.toxic] / most[r.toxic] for r in chosen}
+    picked = docs.sparkSession.createDataFrame([(h,) for h in label], "hash long")
+    rows = docs.select(F.xxhash64("text").alias("hash"), "text").join(F.broadcast(picked), "hash").groupBy("hash").agg(F.first("text").alias("text"))
+    rows = sorted(rows.mapInArrow(_described, "hash long, fixed boolean, at binary, value binary").collect(), key=lambda r: r.hash)  # at most fit_rows, of HASHES inputs at most
+    at = [np.frombuffer(r.at, "<u2") for r in rows]
+    value = np.concatenate([np.frombuffer(r.value, "<f2") for r in rows]).astype(float)
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in at])
+    at = np.concatenate(at).astype(np.int64)
+    often = np.bincount(at, minlength=HASHES)[at] >= 5  # inputs of fewer texts say nothing about others
+    return Model(fit_linear(row[often], at[often], value[often], np.array([float(r.fixed) for r in rows]), np.array([label[r.hash] for r in rows]), np.array([share[r.hash] for r in rows])))
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of these documents: one pass of the voters over all of them, one over the texts that it is fitted on."""
+    count = counter(lexicon(docs, labels))
+    return fit(docs, stage(docs.select(F.xxhash64("text").alias("hash"), count(F.col("text")).alias("f")), "toxicity"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, n_words and the hits by kind."""
-    terms = lexicon(docs, labels)
-    counted = stage(docs.select("doc_id", counter(terms)(F.col("text")).alias("f")), "toxicity")
-    scored = counted.withColumn("score", fit(counted, terms).score())
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"), "f.*")
+    """One row per document: doc_id, held_out, score, predicted."""
+    scored = docs.select("doc_id", trained(docs, labels).score(F.col("text")).alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns; the texts are not shuffled."""
-    terms = lexicon(docs, labels)
-    count = counter(terms)
-    model = fit(stage(docs.select(count(F.col("text")).alias("f")), "toxicity"), terms)
-    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), count(F.col("text")).alias("f")).where(model.score() < CUT)
-    return kept.select("row.*")
+    scored = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), trained(docs, labels).score(F.col("text")).alias("score"))
+    return scored.where(F.col("score") < CUT).select("row.*")

@@ -603,11 +603,47 @@ def test_label_model_finds_accuracies():
     assert share[2] < share[0]  # the doubled voter counts less
 
 
-def test_toxicity_held_out(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+@pytest.mark.parametrize(("sf", "found", "wrong"), [("sf0.01", 0.5, 0.01), ("sf0.1", 0.92, 0.006)])
+def test_toxicity_held_out(spark, sf, found, wrong):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{n}.parquet") for n in ("documents", "labels"))
     got = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in got}
-    assert n.get((1, 1), 0) >= 0.5 * (n.get((1, 1), 0) + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.03 * n[0, 0]
+    assert n.get((1, 1), 0) >= found * (n.get((1, 1), 0) + n.get((1, 0), 0)) and n.get((0, 1), 0) <= wrong * n[0, 0]
+
+
+def test_toxicity_scores_by_definition(docs):
+    """Scores are the logistic function of the weighted inputs, counted here one by one."""
+    r = np.random.default_rng(5)
+    model = toxicity.Model(np.where(r.uniform(size=toxicity.HASHES + 2) < 0.3, r.normal(size=toxicity.HASHES + 2), 0.0))
+    w = model.weights.astype(np.float32).astype(float)
+    for got in docs.select("text", model.score(F.col("text")).alias("score")).collect():
+        words = set(re.findall("[a-z0-9\u0080-\U0010ffff]+", (got.text or "").lower()))
+        inputs = collections.Counter(zlib.crc32(x.encode()) % toxicity.HASHES for t in words for x in {f" {t} "} | {f" {t[:k]}" for k in (3, 4, 5) if len(t) >= k})
+        z = w[-1] + w[-2] * any(t in toxicity.INSULTS for t in words) + sum(w[h] * np.log1p(100 * c / max(50, len(words))) for h, c in inputs.items())
+        assert got.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), rel=1e-9)
+
+
+def test_linear_model_is_its_optimum():
+    """The fitted weights leave no slope; a dense solver by Newton steps finds the same."""
+    r = np.random.default_rng(2)
+    n, k = 80, 6
+    x = np.where(r.uniform(size=(n, k)) < 0.5, r.uniform(0.2, 2, (n, k)), 0.0)
+    y, weight, fixed = r.uniform(size=n), r.uniform(0.5, 2, n), (r.uniform(size=n) < 0.2).astype(float)
+    row, at = np.nonzero(x)
+    got = toxicity.fit_linear(row, at, x[row, at], fixed, y, weight, ridge=0.05)
+    dense, pull = np.hstack([x, fixed[:, None], np.ones((n, 1))]), np.array([0.05] * k + [0.0005, 0.0])
+    w, share = np.zeros(k + 2), weight / weight.sum()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-dense @ w))
+        w = w - np.linalg.solve((dense * (share * p * (1 - p))[:, None]).T @ dense + np.diag(pull), dense.T @ (share * (p - y)) + pull * w)
+    assert np.append(got[:k], got[-2:]) == pytest.approx(w, abs=0.05) and not got[k:-2].any()
+
+
+def test_labels_that_differ_count_as_toxic(spark):
+    texts = [(i, f"plain words number{i} " + ("grubble" if i % 2 else "") + " here") for i in range(60)]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert " grubble " in toxicity.lexicon(docs, labels)["word"]
 
 
 def test_toxicity_edges(spark, docs, rows, empty):
