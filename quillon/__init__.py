@@ -2,7 +2,7 @@
 
 from quillon.config import ColumnMap, Config, Design
 from quillon.errors import AnalysisError, ContractError, ScopeWarning, SourceError
-from quillon.functions.correction import VALID_METHODS, adjust, adjust_within, p_adjust, p_adjust_by_group
+from quillon.functions.correction import VALID_METHODS, adjust, adjust_within, p_adjust, p_adjust_by_group, release
 from quillon.functions.protein import calc_molecular_weight
 from quillon.operators.ingest import attach_conditions, materialize_peptide_table
 from quillon.operators.ward import select_cut_strategy

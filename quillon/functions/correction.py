@@ -2,7 +2,9 @@
 
 Nulls and non-finite p-values are not tested: they stay null and do not count. Within groups, the families are small and
 plain windows do. Over a whole table, equal p-values are counted first, then dealt into value ranges: a range's first rank and
-the extremes of the other ranges come from a table of one row a range, so no task ever sorts all p-values.
+the extremes of the other ranges come from a table of one row a range, so no task ever sorts all p-values. Rows find their
+corrected value by an equi-join on the p-value, in which the few values that very many rows share, and rows that are not
+tested, do not take part: their corrected values go into the plan as literals.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.errors import ContractError
-from quillon.functions.hommel import hommel
+from quillon.functions.hommel import corrected, hommel, lower_hull, points
 from quillon.functions.qvalue import LAMBDAS, pi0_from_curve
 
-#: Ranges of values that a table-wide correction is dealt into.
-RANGES = 256
+#: Distinct values that a range of a table-wide correction holds, and the most ranges: their bounds are literals of the plan.
+RANGE_VALUES, RANGES = 500_000, 1024
+#: A value that one row in so many has is looked up in the plan.
+HEAVY = 64
 VALID_METHODS = (None, "none", "bonferroni", "holm", "hommel", "hochberg", "fdr", "fdr_bh", "BY", "qvalue")
 #: Methods that run from the smallest p-value up; the others run down from the largest.
 UPWARD = ("holm",)
@@ -100,38 +104,86 @@ def distinct_values(df: DataFrame, p: str) -> DataFrame:
     return df.select(tested(F.col(p)).alias("p")).where("p is not null").groupBy("p").agg(F.count(F.lit(1)).alias("c"))
 
 
-def distinct_ranks(values: DataFrame) -> DataFrame:
-    """(p, c, low, high, range) of (p, c): the ranks that each p-value takes."""
-    cuts = values.agg(F.percentile_approx("p", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []  # a row of RANGES numbers
-    cuts = sorted(set(cuts))
-    ranged = values.withColumn("range", F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda x: x < F.col("p"))) if cuts else F.lit(0))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+def _range_of(cuts: list[float], first: int = 0) -> Column:
+    """How many of the ascending cuts are below column p, by halving them."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(F.col("p") <= cuts[half], _range_of(cuts[:half], first)).otherwise(_range_of(cuts[half + 1 :], first + half + 1))
+
+
+def distinct_ranks(values: DataFrame, n_values: int) -> DataFrame:
+    """(p, c, range, low, high) of n_values rows (p, c): the ranks that each p-value takes."""
+    n = min(RANGES, -(-n_values // RANGE_VALUES))
+    cuts = values.agg(F.percentile_approx("p", [i / n for i in range(1, n)], 10_000)).first()[0] or [] if n > 1 else []  # a row of numbers
+    ranged = values.withColumn("range", _range_of(sorted(set(cuts))))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     first = ranged.groupBy("range").agg(F.sum("c").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     upto = F.sum("c").over(Window.partitionBy("range").orderBy("p"))
     return ranged.withColumn("upto", upto).join(F.broadcast(first), "range").select("p", "c", "range", (F.col("first") + F.col("upto") - F.col("c") + 1).alias("low"), (F.col("first") + F.col("upto")).alias("high"))
 
 
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, kept in memory and on disk until release(): several steps look at it and it is dear to make."""
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> int:
+    """Let go of what results kept, when no result that uses it is needed any more; the number of tables."""
+    n = len(_KEPT)
+    while _KEPT:
+        _KEPT.pop().unpersist()
+    return n
+
+
+def _hommel_corners(ranks: DataFrame, m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hull corners of all values: each range's own corners, some cube root of its values, come to the driver and are merged."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("high")
+        x, y = lower_hull(table.column("high").to_numpy(), table.column("p").to_numpy())
+        return pa.table({"x": pa.array(x), "y": pa.array(y)})
+
+    rows = sorted(map(tuple, ranks.select("range", "high", "p").groupBy("range").applyInArrow(run, "x double, y double").collect()))
+    return points(np.array([y for _, y in rows]), np.array([x for x, _ in rows]), m, n)
+
+
+def _looked_up(df: DataFrame, fixed: DataFrame, p: str, out: str, m: int) -> DataFrame:
+    """df with out from fixed (p, c, a). Heavy and untested values meet no row of fixed and are dealt out by the partition that they come from."""
+    heavy = {r.p: r.a for r in fixed.where(F.col("c") * HEAVY > m).select("p", "a").collect()}  # fewer than HEAVY rows
+    light = F.when(~F.col(p).isin(list(heavy)), tested(F.col(p))) if heavy else tested(F.col(p))
+    keyed = df.withColumn("_p", light).withColumn("_salt", F.when(F.col("_p").isNull(), F.spark_partition_id()).otherwise(-1))
+    table = fixed.where(F.col("c") * HEAVY <= m).select(F.col("p").alias("_p"), F.lit(-1).alias("_salt"), F.col("a").alias("_a"))
+    got = keyed.join(table, ["_p", "_salt"], "left")
+    for value, a in heavy.items():
+        got = got.withColumn("_a", F.when(F.col(p) == value, F.lit(a)).otherwise(F.col("_a")))
+    return got.withColumn(out, F.col("_a")).drop("_p", "_salt", "_a").select(*df.columns, out)
+
+
 def adjust(df: DataFrame, method: str | None, p: str = "p_value", out: str = "adjusted", n_tests: int | None = None) -> DataFrame:
     """df with out: p corrected over the whole table, for n_tests tests (those of the table if not given)."""
     method = known(method)
     v = tested(F.col(p))
     if method == "none":
         return df.withColumn(out, v)
-    values = distinct_values(df, p).persist(StorageLevel.MEMORY_AND_DISK)  # looked at several times; df is run for it and for the result
-    m = values.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    if method == "bonferroni":
+        n = df.agg(F.count(v)).first()[0] if n_tests is None else n_tests
+        return df.withColumn(out, F.when(v.isNotNull(), F.least(v * n, F.lit(1.0))) if n > 0 else v)
+    values = keep(distinct_values(df, p))  # looked at several times; df is run for it and for the result
+    size = values.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("m"), F.count(F.lit(1)).alias("d")).first()
+    m = size.m
     n = m if n_tests is None else n_tests
-    if n <= 0:
+    if n <= 0 or not m:
         return df.withColumn(out, v)
-    if method == "bonferroni":
-        return df.withColumn(out, F.when(v.isNotNull(), F.least(v * n, F.lit(1.0))))
+    ranks = distinct_ranks(values, size.d)
     if method == "hommel":
-        # Sequential by nature: only the sorted distinct values and their counts come to one place, one number each.
-        rows = values.orderBy("p").collect()
-        x = np.repeat([r.p for r in rows], [r.c for r in rows])
-        fixed = dict(zip(x.tolist(), hommel(x, n).tolist(), strict=True))
-        table = df.sparkSession.createDataFrame([(a, b) for a, b in fixed.items()], "_p double, _a double")
-        return df.join(table, F.col(p) == F.col("_p"), "left").withColumn(out, F.col("_a")).drop("_p", "_a")
-    ranks = distinct_ranks(values)
+        x, y = _hommel_corners(ranks, m, max(m, n))
+        run = F.arrow_udf(lambda c: pa.array(corrected(c.to_numpy(zero_copy_only=False), x, y, max(m, n))), "double")
+        return _looked_up(df, values.select("p", "c", run("p").alias("a")), p, out, m)
     bound = _stepped(method, F.col("p"), F.col("low"), F.col("high"), F.lit(m).cast("long"), F.lit(n).cast("long"))
     ranks = ranks.withColumn("b", bound)
     if method in UPWARD:
@@ -145,8 +197,8 @@ def adjust(df: DataFrame, method: str | None, p: str = "p_value", out: str = "ad
     factor = F.lit(1.0)
     if method == "qvalue":
         factor = F.lit(pi0_of(values, m))
-    fixed = ranks.withColumn("own", own).join(F.broadcast(edge), "range").select(F.col("p").alias("_p"), (factor * F.least(F.lit(1.0), run)).alias("_a"))
-    return df.join(fixed, F.col(p) == F.col("_p"), "left").withColumn(out, F.col("_a")).drop("_p", "_a")
+    fixed = ranks.withColumn("own", own).join(F.broadcast(edge), "range").select("p", "c", (factor * F.least(F.lit(1.0), run)).alias("a"))
+    return _looked_up(df, fixed, p, out, m)
 
 
 def lambda_curve(df: DataFrame, p: str = "p_value") -> DataFrame:

@@ -44,6 +44,11 @@ def adjusted(method: str, over: str = "", source: str = "p", column: str = "raw_
     return f"select *, case when {column} is not null then least(1, {run}) end a from (select *, {bound} b from {source})"
 
 
+HOMMEL_ALL = """, r as (select *, row_number() over (order by raw_p_value) i, count(*) over () m from p where raw_p_value is not null),
+al as (select j, min(j * raw_p_value / (i - m + j)) a from r, (select unnest(range(1, (select count(*) + 1 from r))) j) where i > m - j group by all),
+h as (select protein_id, peptide_id, least(1, max(least(j * raw_p_value, a))) adjusted from r, al group by all)
+select protein_id, peptide_id, round(adjusted, 6) + 0 adjusted from p left join h using (protein_id, peptide_id)"""
+
 HOMMEL = """, r as (select *, row_number() over (partition by protein_id order by raw_p_value) i, count(*) over (partition by protein_id) m from p where raw_p_value is not null),
 al as (select x.protein_id, j, min(j * raw_p_value / (i - m + j)) a from r x, range(1, 50) t(j) where j <= m and i > m - j group by all),
 h as (select r.protein_id, r.peptide_id, least(1, max(least(j * raw_p_value, a))) adjusted from r join al using (protein_id) group by all)
@@ -84,6 +89,7 @@ def oracle_sql() -> dict[str, str]:
         "wls_pvalue": f"{p} select {key}, {r6('raw_p_value')}, fit_status from p",
         "wls_weighted_pvalue": f"with {stats(TIERS)} select {key}, {r6('raw_p_value')}, fit_status from p",
         "fit_status_counts": f"""with {stats(where="not (ends_with(protein_id, '5') and condition = 'mid' and peptide_id = 'ECONOMY')")} select fit_status, count(*) n from p group by all""",
+        "adjust_hommel": p + HOMMEL_ALL,
         "adjust_hommel_within": p + HOMMEL,
         "pi0_lambda_curve": f"{p}, l as (select unnest([{', '.join(repr(float(x)) for x in LAMBDAS)}]) lam), m as (select count(raw_p_value) m from p) select round(lam, 2) \"lambda\", (select count(*) from p where raw_p_value > lam) n_above, round((select count(*) from p where raw_p_value > lam) / (m * (1 - lam)), 6) pi0 from l, m",
         "pi0_bootstrap": f"{p}, l as (select unnest([{', '.join(repr(float(x)) for x in LAMBDAS)}]) lam), m as (select count(raw_p_value) m from p), b_counts as (select lam, m, (select count(*) from p where raw_p_value > lam) n from l, m), b_curve as (select *, n / (m * (1 - lam)) pi0 from b_counts), b_errors as (select pi0, n / (m::double * m * (1 - lam) * (1 - lam)) * (1 - n / m) + power(pi0 - (select quantile_cont(pi0, 0.1) from b_curve), 2) error from b_curve) select round(least(1.0, coalesce((select pi0 from b_errors order by error, pi0 limit 1), 1.0)), 6) pi0",

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import schema
 from quillon.config import Config
 from quillon.errors import ContractError
-from quillon.functions.correction import adjust, adjust_within
+from quillon.functions.correction import adjust, adjust_within, keep
 from quillon.operators import audit
 from quillon.operators.cells import wls_pvalues
 from quillon.operators.cluster import cluster_table, profiles
@@ -71,7 +70,7 @@ def corrected(raw: DataFrame, config: Config) -> DataFrame:
 
     The table-wide correction looks at the p-values several times; they are kept, one row a peptide, so that models run once.
     """
-    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    raw = keep(raw)
     within = adjust_within(raw, config.correction_within, PROTEIN, "raw_p_value", "within_p_value")
     both = adjust(within, config.correction_global, "within_p_value", "adjusted_p_value")
     flag = F.coalesce(F.col("adjusted_p_value") <= config.fdr, F.lit(False))

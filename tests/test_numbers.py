@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from quillon import Config, p_adjust, p_adjust_by_group
 from quillon.errors import ContractError
 from quillon.functions.correction import VALID_METHODS
-from quillon.functions.hommel import hommel
+from quillon.functions.hommel import corrected, hommel, lower_hull, points
 from quillon.functions.qvalue import LAMBDAS, bootstrap, least_place, pi0_from_curve, smoothed_end
 from quillon.functions.tails import beta_inc, gamma_upper, sf_chi2, sf_f
 from quillon.operators import ward
@@ -62,6 +62,22 @@ def test_hommel_is_its_definition(values):
     assert np.allclose(hommel(p), np.minimum(1, want), atol=1e-12)
 
 
+def test_hommel_of_many():
+    """Ties, more tests than values, and the corners of parts in place of all points."""
+    rng = np.random.default_rng(8)
+    for n, more in ((400, 0), (400, 150), (37, 3)):
+        p = np.sort(np.round(np.concatenate([rng.beta(0.2, 4, n // 2), rng.uniform(size=n - n // 2)]), 3))
+        every = np.concatenate([p, np.ones(more)])
+        m = n + more
+        alpha = [np.min(j * every[m - j :] / np.arange(1, j + 1)) for j in range(1, m + 1)]
+        want = [max(min(j * x, alpha[j - 1]) for j in range(1, m + 1)) for x in p]
+        assert np.allclose(hommel(p, m), np.minimum(1, want), atol=1e-12)
+        last = np.flatnonzero(np.append(p[1:] != p[:-1], True))
+        parts = [lower_hull(last[a : a + 30] + 1, p[last[a : a + 30]]) for a in range(0, len(last), 30)]
+        x, y = points(np.concatenate([c[1] for c in parts]), np.concatenate([c[0] for c in parts]), n, m)
+        assert np.allclose(corrected(p, x, y, m), hommel(p, m), atol=0)
+
+
 def test_groups_skip_what_is_not_tested():
     got = p_adjust_by_group([0.01, math.nan, 0.02, 0.5], ["a", "a", "a", "b"], "bonferroni")
     assert np.allclose(got, [0.02, math.nan, 0.04, 0.5], equal_nan=True)

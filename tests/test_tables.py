@@ -104,6 +104,20 @@ def test_table_correction_is_vector_correction(spark, method):
     assert np.allclose([inside[i] for i in range(len(p))], want, atol=1e-9) and inside[1001] is None
 
 
+@pytest.mark.parametrize("method", ["holm", "fdr_bh", "hommel", "qvalue"])
+def test_many_ranges_and_heavy_values(spark, monkeypatch, method):
+    """Small ranges, a third of all p-values equal to 1, and more tests than values."""
+    monkeypatch.setattr(correction, "RANGE_VALUES", 40)
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.beta(0.3, 2, 500), np.round(rng.uniform(size=100), 1), [1.0] * 300])
+    df = spark.createDataFrame([(i, float(x), 1, 2) for i, x in enumerate(p)], "i int, p double, c int, a int")
+    for n_tests in (None, 2000):
+        got = {r.i: r.out for r in correction.adjust(df, method, "p", "out", n_tests).collect()}
+        assert np.allclose([got[i] for i in range(len(p))], correction.p_adjust(p, method, n_tests), atol=1e-12)
+    assert correction.adjust(df, method, "p", "out").columns == ["i", "p", "c", "a", "out"]
+    assert correction.release() > 0 and correction.release() == 0
+
+
 def test_harmonic_sum_of_many(spark):
     n = 5000
     got = spark.range(1).select(correction.harmonic(F.lit(n).cast("long")).alias("h")).first().h
