@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillon.config import Config
@@ -52,21 +52,41 @@ def intensity_audit(df: DataFrame, log2_needed: bool = False) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(not_finite(c)).alias("n_non_finite"), F.count_if(c.isNull()).alias("n_null"), bad.alias("n_non_positive"), F.coalesce(F.avg(F.when(c.isNotNull(), F.isnan(c).cast("double"))), F.lit(0.0)).alias("nan_fraction"))
 
 
-def summary(df: DataFrame, min_peptides: int, log2_needed: bool) -> DataFrame:
-    """All counts that check() looks at, in one row: summed by key, then by protein, then over all."""
-    c = F.col(INTENSITY)
-    bad = F.count_if(c <= 0) if log2_needed else F.lit(0).cast("long")
-    sums = ("n_rows", "n_non_finite", "n_null", "n_non_positive", "n_nan")
-    keys = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(not_finite(c)).alias("n_non_finite"), F.count_if(c.isNull()).alias("n_null"), bad.alias("n_non_positive"), F.count_if(F.isnan(c)).alias("n_nan"))
-    peptides = keys.groupBy(PROTEIN, PEPTIDE).agg(F.max("n_rows").alias("most"), *(F.sum(x).alias(x) for x in sums))
-    proteins = peptides.groupBy(PROTEIN).agg(F.count(F.lit(1)).alias("n_peptides"), F.max("most").alias("most"), *(F.sum(x).alias(x) for x in sums))
-    return proteins.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums), F.coalesce(F.max("most"), F.lit(0)).alias("most"), F.count_if(F.col("n_peptides") < min_peptides).alias("n_few"))
-
-
-def check(df: DataFrame, config: Config) -> dict[str, Any]:
-    """Raises for what breaks the contract. One job finds whether anything does; examples are fetched only then."""
-    got = summary(df, config.min_peptides, not config.input_is_log2).first()
-    if not got.n_rows:
+def summary(df: DataFrame, config: Config) -> tuple[Row, list[Row]]:
+    """What check(), scope() and the normalization look at, from one run of df, all samples included: (sums over all, one row a sample).
+
+    Rows are summed by key and, at the same time, by sample; keys are summed by peptide, by protein and over all, while the few
+    rows of samples pass through. Samples outside the design are only named.
+    """
+    c, log2_needed = F.col(INTENSITY), not config.input_is_log2
+    inside = F.col(SAMPLE).isin(sorted(config.selected_sample_ids))
+    own = lambda x: F.when(inside, x)
+    rows = df.select(F.col(SAMPLE), own(F.col(PROTEIN)).alias(PROTEIN), own(F.col(PEPTIDE)).alias(PEPTIDE), inside.alias("inside"), own(c.cast("double")).alias("v"), own(F.log2(c.cast("double")) if log2_needed else c.cast("double")).alias("y"))
+    control = F.col(SAMPLE).isin(list(config.conditions[config.control_condition]))
+    counts = {
+        "n_rows": F.count_if("inside"), "n_non_finite": F.count_if(not_finite(F.col("v"))), "n_null": F.count_if(F.col("inside") & F.col("v").isNull()),
+        "n_non_positive": F.count_if(F.col("v") <= 0) if log2_needed else F.sum(F.lit(0).cast("long")), "n_nan": F.count_if(F.isnan("v")),
+    }
+    both = rows.groupingSets([[PROTEIN, PEPTIDE, SAMPLE], [SAMPLE]], PROTEIN, PEPTIDE, SAMPLE).agg(
+        F.grouping_id().alias("by"), *(x.alias(k) for k, x in counts.items()), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"), F.coalesce(F.count_if(control & F.col("y").isNotNull()), F.lit(0)).alias("n_control")
+    )
+    whole = F.col("by") == 0
+    sample = F.when(~whole, F.col(SAMPLE)).alias("sample")
+    step = both.where(~whole | (F.col("n_rows") > 0)).groupBy(PROTEIN, PEPTIDE, sample).agg(F.max("n_rows").alias("most"), *(F.sum(k).alias(k) for k in counts), F.max("mean").alias("mean"), F.max("std").alias("std"), F.sum("n_control").alias("n_control"))
+    step = step.groupBy(PROTEIN, "sample").agg(
+        F.count_if(F.col("sample").isNull()).alias("n_peptides"), F.count_if(F.col("sample").isNull() & (F.col("n_control") == 0)).alias("n_bare"), F.max("most").alias("most"), *(F.sum(k).alias(k) for k in counts), F.max("mean").alias("mean"), F.max("std").alias("std")
+    )
+    last = step.groupBy("sample").agg(
+        *(F.sum(k).alias(k) for k in counts), F.max("most").alias("most"), F.sum("n_bare").alias("n_bare"), F.count_if(F.col("n_peptides") < config.min_peptides).alias("n_few"), F.max("mean").alias("mean"), F.max("std").alias("std")
+    )
+    got = last.collect()  # one row a sample, and one
+    every = next((r for r in got if r["sample"] is None), None)
+    return every, [r for r in got if r["sample"] is not None]
+
+
+def check(df: DataFrame, config: Config, got: Row | None) -> dict[str, Any]:
+    """Raises for what breaks the contract, from the sums over all; examples of rows of df are fetched only then."""
+    if got is None or not got.n_rows:
         raise ContractError("no peptide rows remain for the configured samples")
     if got.most > 1:
         raise ContractError(f"peptide keys must be unique; repeated for example: {[tuple(r)[:3] for r in duplicate_keys(df).limit(3).collect()]}")
@@ -81,4 +101,4 @@ def check(df: DataFrame, config: Config) -> dict[str, Any]:
         raise ContractError(f"{got.n_few} protein(s) have fewer than {config.min_peptides} peptides, for example {[tuple(r) for r in worst]}")
     if got.n_non_positive:
         raise ContractError(f"{INTENSITY} has {got.n_non_positive} value(s) of 0 or less, which have no logarithm; set input_is_log2 if they are logarithms")
-    return {"n_rows": got.n_rows, "nan_fraction": got.n_nan / max(1, got.n_rows - got.n_null)}
+    return {"n_rows": got.n_rows, "nan_fraction": got.n_nan / max(1, got.n_rows - got.n_null), "finite": not got.n_null and not got.n_bare}

@@ -15,14 +15,19 @@ from quillon.schema import CONDITION, NORMALIZED, PEPTIDE, PROTEIN
 
 
 def cells(df: DataFrame, weight: Column, value: str = NORMALIZED) -> DataFrame:
-    """Sums of every (protein, peptide, condition) and of the protein's other peptides, of values centred by protein and condition."""
+    """Sums of every (protein, peptide, condition) and of the protein's other peptides, of values centred by protein and condition.
+
+    Rows are summed by cell where they are; only cells, a few for each peptide, meet by protein, where the sums are centred.
+    """
     by = Window.partitionBy(PROTEIN, CONDITION)
     rows = df.select(PROTEIN, PEPTIDE, CONDITION, F.col(value).alias("v"), weight.cast("double").alias("w"))
-    rows = rows.withColumn("v", F.col("v") - F.avg("v").over(by))
-    own = rows.groupBy(PROTEIN, PEPTIDE, CONDITION).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w1"), F.sum(F.col("w") * F.col("v")).alias("s1"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("q1"))
+    wv = F.col("w") * F.col("v")
+    own = rows.groupBy(PROTEIN, PEPTIDE, CONDITION).agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("nv"), F.sum("v").alias("v"), F.sum("w").alias("w1"), F.sum(wv).alias("s1"), F.sum(wv * F.col("v")).alias("q1"))
+    own = own.repartition(PROTEIN).withColumn("m", F.try_divide(F.sum("v").over(by), F.sum("nv").over(by)))
+    own = own.withColumn("q1", F.col("q1") - F.col("m") * (2 * F.col("s1") - F.col("m") * F.col("w1"))).withColumn("s1", F.col("s1") - F.col("m") * F.col("w1"))
     for a, b in (("w1", "w0"), ("s1", "s0"), ("q1", "q0")):
         own = own.withColumn(b, F.sum(a).over(by) - F.col(a))
-    return own.withColumn("n_peptides", F.count(F.lit(1)).over(by)).withColumn("n_all", F.sum("n").over(Window.partitionBy(PROTEIN)))
+    return own.drop("v", "nv", "m").withColumn("n_peptides", F.count(F.lit(1)).over(by)).withColumn("n_all", F.sum("n").over(Window.partitionBy(PROTEIN)))
 
 
 def wls_stats(parts: DataFrame, n_conditions: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from quillon.config import ColumnMap, Config, Design
 from quillon.errors import ContractError
@@ -37,14 +38,19 @@ def coerced(df: DataFrame) -> DataFrame:
     return df.withColumn(PROTEIN, representative(F.col(PROTEIN)))
 
 
-def ingest(df: DataFrame, config: Config) -> DataFrame:
-    """Renamed, restricted to the design's samples and typed; still lazy."""
+def typed(df: DataFrame, config: Config) -> DataFrame:
+    """Renamed and typed rows of all samples; still lazy."""
     df = harmonize_columns(df, config.column_map)
     if missing := [c for c in REQUIRED if c not in df.columns]:
         raise ContractError(f"the peptide table lacks {missing}; map its columns with column_map")
-    if dict(df.dtypes)[INTENSITY] in ("boolean", "date", "timestamp", "binary"):
-        raise ContractError(f"{INTENSITY} must be numeric")
-    return coerced(in_scope(df, config))
+    if not isinstance(df.schema[INTENSITY].dataType, NumericType | StringType):  # text, as delimited files have it, is cast
+        raise ContractError(f"{INTENSITY} must be numeric, it is {df.schema[INTENSITY].dataType.simpleString()}")
+    return coerced(df)
+
+
+def ingest(df: DataFrame, config: Config) -> DataFrame:
+    """Renamed, restricted to the design's samples and typed; still lazy."""
+    return in_scope(typed(df, config), config)
 
 
 def attach_conditions(df: DataFrame, design: Config | Design) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import schema
@@ -14,7 +14,7 @@ from quillon.functions.correction import adjust, adjust_within, keep
 from quillon.operators import audit
 from quillon.operators.cells import wls_pvalues
 from quillon.operators.cluster import cluster_table, profiles
-from quillon.operators.ingest import attach_conditions, harmonize_columns, ingest, mapped_only, peptide_columns
+from quillon.operators.ingest import attach_conditions, in_scope, mapped_only, peptide_columns, typed
 from quillon.operators.mapping import check_mapping, map_peptides
 from quillon.operators.normalize import normalize_control_relative_long
 from quillon.operators.rlm import rlm_pvalues
@@ -47,16 +47,19 @@ def select_model(name: str) -> Model:
 
 
 def prepare(peptides: DataFrame, config: Config, provenance: DataFrame | None = None, check: bool = True) -> PreparedDataset:
-    """Validated and normalized peptides. With check, the audits run now; the table itself stays lazy."""
-    named = harmonize_columns(peptides, config.column_map)
-    metadata = audit.scope([r[0] for r in audit.present_samples(named).collect()], config) if check else {}  # one row a sample
-    rows = ingest(named, config)
+    """Validated and normalized peptides. With check, the audits run now, in one run of peptides; the table itself stays lazy."""
+    every = typed(peptides, config)
+    rows = in_scope(every, config)
     if provenance is not None:
         rows = attach_provenance(rows, provenance)
     rows = peptide_columns(attach_conditions(rows, config))
+    metadata, stats = {}, None
     if check:
-        metadata |= audit.check(rows, config)
-    rows = normalize_control_relative_long(rows, config.conditions[config.control_condition], config.input_is_log2, check=check)
+        got, samples = audit.summary(every, config)
+        metadata = audit.scope([r["sample"] for r in samples], config) | audit.check(rows, config, got)
+        stats = [Row(sample_id=r["sample"], mean=r["mean"], std=r["std"]) for r in samples if r["sample"] in config.selected_sample_ids]
+        metadata["finite"] &= all(r.std is not None for r in stats)
+    rows = normalize_control_relative_long(rows, config.conditions[config.control_condition], config.input_is_log2, check=check, stats=stats)
     return PreparedDataset(config, rows, config.ordered_sample_ids, config.condition_levels, metadata | {"control_condition": config.control_condition})
 
 
@@ -81,8 +84,8 @@ def run_discordance(prepared: PreparedDataset, batching: str = "shape", show_pro
     """Tests of every peptide against its protein's others. batching, show_progress and n_jobs are accepted; Spark plans the work."""
     if batching not in ("shape", "protein", "none", "serial"):
         raise ContractError(f"unknown batching {batching!r}")
-    bad = prepared.peptides.where(F.col(NORMALIZED).isNull() | audit.not_finite(F.col(NORMALIZED)))
-    if not bad.isEmpty():
+    bad = F.col(NORMALIZED).isNull() | audit.not_finite(F.col(NORMALIZED))
+    if not prepared.metadata.get("finite") and not prepared.peptides.where(bad).isEmpty():
         raise ContractError("normalized intensities must be finite")
     return DiscordanceResult(prepared.config, schema.require(corrected(select_model(prepared.config.model)(prepared), prepared.config), schema.DISCORDANCE, "discordance table"))
 
@@ -92,14 +95,23 @@ def _same(a: Config, b: Config) -> None:
         raise ContractError("the stages were run with different settings")
 
 
-def run_cluster(prepared: PreparedDataset, discordance: DiscordanceResult, show_progress: bool = False, n_jobs: int | None = None) -> ClusterResult:
-    """Clusters of every protein's peptides."""
+#: Makes (protein_id, peptide_id, profile array<double>) from the results of both stages before; others can be given to run_cluster.
+ProfileBuilder = Callable[[PreparedDataset, DiscordanceResult], DataFrame]
+
+
+def median_profiles(prepared: PreparedDataset, discordance: DiscordanceResult) -> DataFrame:
+    """Medians by condition of all peptides."""
+    return profiles(prepared.peptides, prepared.condition_levels)
+
+
+def run_cluster(prepared: PreparedDataset, discordance: DiscordanceResult, show_progress: bool = False, n_jobs: int | None = None, builder: ProfileBuilder = median_profiles) -> ClusterResult:
+    """Clusters of every protein's peptides by the profiles that builder makes."""
     _same(prepared.config, discordance.config)
     schema.require(discordance.table, schema.DISCORDANCE, "discordance table")
     known = F.col(CONDITION).isin(list(prepared.condition_levels))
-    if not prepared.peptides.where(~known | audit.not_finite(F.col(NORMALIZED))).isEmpty():
+    if not prepared.metadata.get("finite") and not prepared.peptides.where(~known | audit.not_finite(F.col(NORMALIZED))).isEmpty():
         raise ContractError("profiles need known conditions and finite values")
-    return ClusterResult(prepared.config, schema.require(cluster_table(profiles(prepared.peptides, prepared.condition_levels), prepared.config), schema.CLUSTERS, "cluster table"))
+    return ClusterResult(prepared.config, schema.require(cluster_table(builder(prepared, discordance), prepared.config), schema.CLUSTERS, "cluster table"))
 
 
 def assign_proteoforms(prepared: PreparedDataset, discordance: DiscordanceResult, cluster: ClusterResult, check: bool = True) -> ProteoformMappingResult:

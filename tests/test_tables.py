@@ -194,6 +194,46 @@ def test_provenance(spark, peptides):
         weights.imputation_weights(F.lit(True), F.lit(True), 1.0)
 
 
+def test_prepare_runs_its_source_once(spark, peptides):
+    """The audits and the normalization's statistics come from one run of the source, the result from one more."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    n = peptides.count()
+    source = peptides.mapInArrow(count, peptides.schema)
+    data = q.prepare(source, config())
+    assert seen.value == n and data.metadata["finite"]
+    raw = q.select_model("rlm")(data)
+    assert seen.value == n
+    raw.collect()
+    assert seen.value == 2 * n
+    q.run_discordance(data).table.collect()
+    assert seen.value <= 4 * n
+
+
+def test_peptides_without_control_rows(spark, peptides):
+    """Their normalized values are null: the tests refuse them, as they do without the audits."""
+    bare = peptides.where("not (peptide_id = 'PEP1' and sample_id in ('S1', 'S2', 'S3'))")
+    for check in (True, False):
+        data = q.prepare(bare, config(), check=check)
+        assert not data.metadata.get("finite")
+        with pytest.raises(q.ContractError):
+            q.run_discordance(data)
+    with pytest.raises(q.ContractError):
+        q.prepare(peptides.withColumn("intensity", F.lit(True)), config())
+
+
+def test_profiles_of_ones_own(spark, peptides):
+    data = q.prepare(peptides, config(cut="fixed_height", fixed_n_clusters=2))
+    halves = lambda prepared, _: prepared.peptides.select("protein_id", "peptide_id").distinct().withColumn("profile", F.array((F.col("peptide_id") > "PEP1").cast("double")))
+    got = q.run_cluster(data, q.run_discordance(data), builder=halves).table.collect()
+    assert len({(r.protein_id, r.cluster_id, r.peptide_id > "PEP1") for r in got}) == 4
+
+
 def test_files(spark, peptides, tmp_path):
     cfg = config(column_map=q.ColumnMap(protein_id="prot", peptide_id="pep", sample_id="run", intensity="quant"))
     raw = peptides.toDF("prot", "pep", "run", "quant").withColumn("more", F.lit("x"))
