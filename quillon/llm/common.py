@@ -14,25 +14,28 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a new temporary one where that is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or (d.get() if (d := sc._jsc.sc().getCheckpointDir()).isDefined() else None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+_STAGED: list[str] = []
 
 
-_STAGED: list[str] = []
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses, noted for release()."""
+    _STAGED.append(f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}")
+    return _STAGED[-1]
 
 
 def release(spark: SparkSession) -> int:
-    """Delete what this process has staged so far, when no result that reads it is needed any more; the number of tables."""
+    """Delete what this process has written to the shared folder so far, staged tables, token shards and archives, when no result that reads it is needed any more; their number."""
     n = len(_STAGED)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _STAGED:
@@ -47,7 +50,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The files stay until release() or until the folder's owner clears it.
     """
     path = shared_path(df.sparkSession, name)
-    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

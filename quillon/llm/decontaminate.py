@@ -2,11 +2,12 @@
 
 A test item of n words with a budget of k word edits is split into k + 1 pieces: a passage within the budget holds one of
 them unchanged. Pieces are sought by rolling hashes over a whole batch of texts at once; every hit gives the place where
-the item would stand, and Myers' bit-parallel edit distance decides on the words around it. Items come in blocks of bounded
-size, each block's index is sent to the executors and scans all documents; texts are never shuffled.
+the item would stand, and Myers' bit-parallel edit distance decides on the words around it. Items are dealt into blocks of
+bounded size by a hash and written to the shared folder by the executors; documents are scanned once, every batch of them
+against all blocks, of which a Python process holds KEPT at a time. Texts are never shuffled, items never gathered.
 
-Edge cases: null and empty texts match nothing; items without words are left out; items of equal text all match; repeated
-rows match alike; empty tables give empty results; texts are scanned whole; other columns are carried along by clean().
+Edge cases: null and empty texts match nothing; items of fewer than least_words words, which any text may hold by chance, are
+not sought; items without an id are, and match as null; items of equal text all match; repeated rows match alike; empty tables give empty results; texts are scanned whole; other columns are carried along by clean().
 """
 
 from __future__ import annotations
@@ -18,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm import files
+from quillon.llm.common import shared_path, stage
 from quillon.llm.words import folded_lower
 
-#: Word edits allowed for each word of an item, and the most items of a block.
-RATE, BLOCK = 0.2, 20_000
+#: Word edits allowed for each word of an item, the items of a block, more or less, and the least words of an item that is sought.
+RATE, BLOCK, LEAST_WORDS = 0.2, 20_000, 5
+#: Blocks whose index a Python process holds, the last used; texts that are matched at once.
+KEPT, AT_ONCE = 2, 500
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MATCHES = "array<struct<item_id bigint, distance int, start int, end int>>"
 _MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -55,8 +60,9 @@ def myers(masks: dict, size: int, text, most: int) -> tuple[int, int]:
 class Index:
     """Pieces of one block of items."""
 
-    items: list[tuple[int, str]]
+    items: list[tuple[int | None, str]]
     rate: float = RATE
+    least_words: int = LEAST_WORDS
     ids: dict[bytes, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -65,7 +71,7 @@ class Index:
         for item_id, text in self.items:
             words = [self.ids.setdefault(w, len(self.ids) + 1) for w in folded_lower(text)]
             n = len(words)
-            if not n:
+            if n < max(1, self.least_words):
                 continue
             k = int(n * self.rate)
             masks: list[dict[int, int]] = [{}, {}]
@@ -139,49 +145,90 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def indexes(benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> list[Index]:
-    """The items' indexes, a block of at most about `block` items each."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    n = max(1, -(-items.count() // block))
-    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect() for i in range(n))
-    return [Index([(r.item_id, r.text) for r in rows], rate) for rows in parts if rows]
+@dataclass(frozen=True)
+class Blocks:
+    """Where the blocks of items are, and how they are sought."""
 
+    uri: str
+    names: tuple[str, ...]
+    rate: float
+    least_words: int
 
-def matcher(text: Column, index: Index) -> Column:
-    """The matches of a text with a block of items."""
-    shared = []
+
+def blocks(benchmark: DataFrame, rate: float = RATE, block: int = BLOCK, least_words: int = LEAST_WORDS) -> Blocks:
+    """The items written to the shared folder in blocks of about `block` items each; only the blocks' names come to the driver."""
+    uri = shared_path(benchmark.sparkSession, "items")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    n = max(1, -(-items.count() // block))
+    files.make_dir(uri)
+
+    def save(batches):
+        for name, table in _by_block(batches):
+            with files.written(f"{uri}/{name}") as out, pa.ipc.new_file(out, table.schema) as writer:
+                writer.write_table(table)
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")).repartition(n, "block").sortWithinPartitions("block", "item_id", "text")
+    names = stage(dealt.mapInArrow(save, "name string"), "blocks")
+    return Blocks(uri, tuple(sorted(r.name for r in names.collect())), rate, least_words)
+
+
+def _by_block(batches):
+    """(name, items) of every block, one after another."""
+    now, held = None, []
+    for batch in batches:
+        numbers = batch.column("block").to_numpy()
+        for part in np.split(np.arange(len(numbers)), np.flatnonzero(np.diff(numbers)) + 1):
+            if len(part):
+                if numbers[part[0]] != now and held:
+                    yield f"block-{now:06d}.arrow", pa.Table.from_batches(held)
+                    held = []
+                now = int(numbers[part[0]])
+                held.append(batch.slice(int(part[0]), len(part)).select(["item_id", "text"]))
+    if held:
+        yield f"block-{now:06d}.arrow", pa.Table.from_batches(held)
+
+
+_INDEXES: dict[tuple, Index] = {}
+
+
+def _index(where: Blocks, name: str) -> Index:
+    """A block's index, built once for as long as it is among the last KEPT that this process used."""
+    key = (where, name)
+    found = _INDEXES.pop(key, None)
+    if found is None:
+        while len(_INDEXES) >= KEPT:
+            del _INDEXES[next(iter(_INDEXES))]
+        with files.opened(f"{where.uri}/{name}") as file, pa.ipc.open_file(file) as reader:
+            table = reader.read_all()
+        found = Index(list(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True)), where.rate, where.least_words)
+    _INDEXES[key] = found
+    return found
+
+
+def matcher(text: Column, where: Blocks) -> Column:
+    """The matches of a text with the items of all blocks."""
 
     def run(texts: pa.Array) -> pa.Array:
-        if not shared:
-            shared.append(Index(index.items, index.rate))
-        out = []
-        for a in range(0, len(texts), 500):
-            out += shared[0].matches(texts[a : a + 500].to_pylist())
+        out: list[list[dict]] = [[] for _ in range(len(texts))]
+        for name in where.names:
+            index = _index(where, name)
+            for a in range(0, len(texts), AT_ONCE):
+                for k, found in enumerate(index.matches(texts[a : a + AT_ONCE].to_pylist()), a):
+                    out[k] += found
         return pa.array(out, _MATCHES)
 
-    # Only the items travel; each Python process builds its index once.
-    index = Bare(index.items, index.rate)
     return F.arrow_udf(run, MATCHES)(text)
 
 
-@dataclass
-class Bare:
-    items: list[tuple[int, str]]
-    rate: float
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", block: int = BLOCK, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, item_id, distance, start, end): every document and item that it holds, at its best place in words."""
-    out = None
-    for index in indexes(benchmark, rate):
-        found = docs.select("doc_id", F.explode(matcher(F.col(text), index)).alias("m")).select("doc_id", "m.*")
-        out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, distance int, start int, end int") if out is None else out
+    where = blocks(benchmark, rate, block, least_words)
+    return docs.select("doc_id", F.explode(matcher(F.col(text), where)).alias("m")).select("doc_id", "m.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", block: int = BLOCK, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents that hold no item, with their columns."""
-    for index in indexes(benchmark, rate):
-        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-        docs = docs.select(row, matcher(F.col(text), index).alias("m")).where(F.size("m") == 0).select("row.*")
-    return docs
+    where = blocks(benchmark, rate, block, least_words)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, matcher(F.col(text), where).alias("m")).where(F.size("m") == 0).select("row.*")

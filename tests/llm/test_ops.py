@@ -252,7 +252,7 @@ def test_contamination(spark, docs, rows):
         more.append((2000 + i, "before " * r.randint(0, 9) + " ".join(words) + " after" * r.randint(0, 9)))
     data = table(spark, rows + more)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(x.doc_id, x.item_id): x.distance for x in decontaminate.contaminated(data, bench).collect()}
+    got = {(x.doc_id, x.item_id): x.distance for x in decontaminate.contaminated(data, bench, least_words=1).collect()}
     want = {}
     fold = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
     for d, t in rows + more:
@@ -261,11 +261,20 @@ def test_contamination(spark, docs, rows):
             if w and (e := edit_distance_inside(w, fold(t))) <= int(len(w) * decontaminate.RATE):
                 want[d, item] = min(e, want.get((d, item), 99))
     assert set(got) == set(want)
-    clean = decontaminate.clean(data, bench)
+    clean = decontaminate.clean(data, bench, least_words=1)
     assert clean.columns == data.columns
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows + more} - {d for d, _ in want} | {1004}  # another text of that id is clean
-    monkey = decontaminate.indexes(bench, block=2)
-    assert len(monkey) > 1 and sum(len(i.items) for i in monkey) == 5
+    dealt = decontaminate.blocks(bench, block=1)  # more blocks than a process keeps
+    assert len(dealt.names) > decontaminate.KEPT
+    assert {(x.doc_id, x.item_id): x.distance for x in decontaminate.contaminated(data, bench, block=1, least_words=1).collect()} == got
+
+
+def test_short_items_and_items_without_id(spark):
+    data = spark.createDataFrame([(1, "yes we can see it"), (2, "one two three four five six"), (3, None), (4, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Yes"), (2, "we can see it"), (None, "two three four five six"), (4, None), (5, " .,")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(data, bench).collect()] == [(2, None, 0, 1, 6)]
+    assert {r.doc_id for r in decontaminate.clean(data, bench).collect()} == {1, 3, 4}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(data, bench, least_words=1).collect()} == {(1, 1), (1, 2), (2, None)}
 
 
 # --- licenses ----------------------------------------------------------------------------------------------------------
