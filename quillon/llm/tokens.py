@@ -14,11 +14,14 @@ the text; an empty table writes no shard; texts are encoded whole.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import json
 import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -36,6 +39,8 @@ TRAILER = struct.Struct("<8sIIQQQQQ")  # magic, id width, spare, rows, ids, keys
 END_ID = 2
 #: Most words whose ids a Python process keeps, and the texts encoded at once.
 CACHE, AT_ONCE = 300_000, 1000
+#: Bytes of text in a shard, more or less; shards whose ranges of ids are looked up together.
+SHARD_BYTES, GROUP = 128 << 20, 1024
 #: Bits that remember which words were met.
 SEEN = 1 << 25
 DIRECT = np.uint32(1 << 31)
@@ -53,17 +58,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Encoder:
     """Texts to little-endian ids with the tokenizers library.
 
-    by_word: the tokenizer lower-cases, drops white space and never joins across it, nor a comma or full stop behind an ASCII
-    letter or digit with what precedes it; so a text's ids are those of its pieces cut there, whose ids are kept between
-    texts. Texts that may hold a special token, which is sought before lower-casing, are not lower-cased here. Else texts are
-    encoded whole.
+    If cuts_words() holds, the tokenizer lower-cases, drops white space and never joins across it, nor a comma or full stop
+    behind an ASCII letter or digit with what precedes it; so a text's ids are those of its pieces cut there, whose ids are
+    kept between texts. Texts that may hold a special token, which is sought before lower-casing, are not lower-cased here.
+    With any other tokenizer texts are encoded whole.
     """
 
-    def __init__(self, path: str, by_word: bool = True, end_id: int = END_ID) -> None:
+    def __init__(self, path: str, end_id: int = END_ID) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), cuts_words(path)
         #: The same vocabulary for plain lower-case words, without the patterns that texts need.
         self.light = Tokenizer.from_file(path)
         self.light.normalizer = None
@@ -119,6 +124,25 @@ class Encoder:
         return over
 
 
+#: Fixed value: the pattern of words of a tokenizer whose words never span white space nor mix letters and stops.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_words(path: str) -> bool:
+    """Whether the tokenizer's own settings allow cutting texts into words: lower-casing, only words of WORD_PATTERN kept, no random merges, no special token without <|."""
+    with open(path, encoding="utf-8") as file:
+        settings = json.load(file)
+    steps = lambda part, name: [part, *part.get(name, [])] if part else []
+    normal = [(s["type"], s.get("pattern", {}).get("Regex"), s.get("content")) for s in steps(settings.get("normalizer"), "normalizers")]
+    cut = [(s["type"], s.get("pattern", {}).get("Regex"), s.get("behavior"), s.get("invert"), s.get("use_regex"), s.get("add_prefix_space")) for s in steps(settings.get("pre_tokenizer"), "pretokenizers")]
+    return (
+        normal == [("Sequence", None, None), ("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+        and cut == [("Sequence", None, None, None, None, None), ("Split", WORD_PATTERN, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+        and settings["model"]["type"] == "BPE" and not settings["model"].get("dropout")
+        and all("<|" in t["content"] and not t["normalized"] for t in settings["added_tokens"])
+    )
+
+
 _STOP = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=\s)")
 _ENCODERS: dict[tuple, Encoder] = {}
 
@@ -138,9 +162,9 @@ def pieces(text: str | None) -> list[bytes]:
     return data.split()
 
 
-def encoder(path: str, by_word: bool = True, end_id: int = END_ID) -> Encoder:
+def encoder(path: str, end_id: int = END_ID) -> Encoder:
     """One encoder a Python process, with the ids it has learnt, for all tasks that the process runs."""
-    key = (path, by_word, end_id)
+    key = (path, end_id)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
@@ -182,27 +206,31 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def find_slots(keys: np.ndarray, pilots: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots, fingerprints) of keys, in constant time each."""
     h = mixed(keys.astype(np.int64).view(np.uint64))
-    pilot = pilots[(h % np.uint64(len(pilots))).astype(np.int64)]
+    return slot_under(h, pilots[(h % np.uint64(len(pilots))).astype(np.int64)], n)
+
+
+def slot_under(h: np.ndarray, pilot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, fingerprints) of keys with the hashes h, under the pilots of their buckets."""
     direct = (pilot & DIRECT) != 0
     hashed = mixed(h ^ mixed(pilot.astype(np.uint64))) % np.uint64(max(n, 1))
     return np.where(direct, pilot & ~DIRECT, hashed).astype(np.int64), (h >> np.uint64(48)).astype(np.uint16)
 
 
 class Writer:
-    """Streams one shard; only 16 bytes a document stay in memory."""
+    """Streams one shard; only 17 bytes a document stay in memory."""
 
     def __init__(self, stream, dtype: np.dtype) -> None:
-        self.stream, self.dtype, self.keys, self.sizes = stream, dtype, [], []
+        self.stream, self.dtype, self.keys, self.sizes, self.null = stream, dtype, array("q"), array("q"), bytearray()
 
     def add(self, key: int | None, ids: bytes) -> None:
         self.stream.write(ids)
-        self.keys.append(key)
+        self.keys.append(key or 0)
+        self.null.append(key is None)
         self.sizes.append(len(ids) // self.dtype.itemsize)
 
     def close(self) -> None:
         rows = len(self.keys)
-        null = np.array([k is None for k in self.keys], bool)
-        keys = np.array([k or 0 for k in self.keys], "<i8")
+        null, keys = np.frombuffer(self.null, bool) if rows else np.zeros(0, bool), np.array(self.keys, "<i8")
         offsets = np.concatenate([[0], np.cumsum(self.sizes)]).astype("<u8")
         distinct, first = np.unique(keys[~null], return_index=True)
         first = np.flatnonzero(~null)[first]
@@ -216,20 +244,29 @@ class Writer:
 
 
 class Shard:
-    """Keyed and sequential access to one shard by range reads."""
+    """Keyed and sequential access to one shard by range reads. The trailer is read at once, a part of the index when it is used as a whole; get() reads single entries."""
 
     def __init__(self, file) -> None:
         self.file = file
-        magic, self.width, _, self.rows, self.n_ids, self.n_keys, buckets, start = TRAILER.unpack(file.read_at(TRAILER.size, file.size() - TRAILER.size))
+        magic, self.width, _, self.rows, self.n_ids, self.n_keys, self.buckets, start = TRAILER.unpack(file.read_at(TRAILER.size, file.size() - TRAILER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        data, at = file.read_at(file.size() - TRAILER.size - start, start), 0
-        parts = []
-        for kind, n in (("u1", self.rows), ("<i8", self.rows), ("<u8", self.rows + 1), ("<u4", buckets), ("<u4", self.n_keys), ("<u2", self.n_keys)):
-            parts.append(np.frombuffer(data, kind, n, at))
-            at += parts[-1].nbytes
-        self.null, self.keys, self.offsets, self.pilots, self.row_of, self.print_of = parts
-        self.null = self.null.astype(bool)
+        self.parts: dict[str, tuple[str, int, int]] = {}
+        for name, kind, n in (("null", "u1", self.rows), ("keys", "<i8", self.rows), ("offsets", "<u8", self.rows + 1), ("pilots", "<u4", self.buckets), ("row_of", "<u4", self.n_keys), ("print_of", "<u2", self.n_keys)):
+            self.parts[name] = (kind, n, start)
+            start += n * np.dtype(kind).itemsize
+
+    def _read(self, name: str, first: int = 0, n: int | None = None) -> np.ndarray:
+        kind, size, start = self.parts[name]
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(self.file.read_at((size if n is None else n) * width, start + first * width), kind)
+
+    null = functools.cached_property(lambda self: self._read("null").astype(bool))
+    keys = functools.cached_property(lambda self: self._read("keys"))
+    offsets = functools.cached_property(lambda self: self._read("offsets"))
+    pilots = functools.cached_property(lambda self: self._read("pilots"))
+    row_of = functools.cached_property(lambda self: self._read("row_of"))
+    print_of = functools.cached_property(lambda self: self._read("print_of"))
 
     def rows_of(self, keys: np.ndarray) -> np.ndarray:
         """The first row of each key, -1 where the shard has none."""
@@ -242,15 +279,36 @@ class Shard:
     def ids(self, row: int, last: int | None = None) -> np.ndarray:
         """The ids of a row, or of rows up to last, excluded."""
         a, b = int(self.offsets[row]), int(self.offsets[row + 1 if last is None else last])
+        return self._ids(a, b)
+
+    def _ids(self, a: int, b: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), f"<u{self.width}")
 
     def get(self, key: int) -> np.ndarray | None:
-        row = int(self.rows_of(np.array([key], np.int64))[0])
-        return None if row < 0 else self.ids(row)
-
-
-def write(docs: DataFrame, tokenizer: str, to: str, by_word: bool = True, end_id: int = END_ID, text: str = "text") -> DataFrame:
-    """Write shards of docs below the URI `to`, in order of doc_id; the table of shards: shard, uri, n_docs, n_ids, start."""
+        """The ids of a key's first row by at most six reads, whatever the shard's size; one or two where it has none, but for one key in 65,536."""
+        if not self.n_keys:
+            return None
+        asked = np.array([key], np.int64)
+        h = mixed(asked.view(np.uint64))
+        pilot = self._read("pilots", int(h[0] % np.uint64(self.buckets)), 1)
+        slot, fingerprint = slot_under(h, pilot, self.n_keys)
+        if self._read("print_of", int(slot[0]), 1)[0] != fingerprint[0]:
+            return None
+        row = int(self._read("row_of", int(slot[0]), 1)[0])
+        if self._read("keys", row, 1)[0] != key:
+            return None
+        a, b = self._read("offsets", row, 2).tolist()
+        return self._ids(a, b)
+
+
+def n_shards(docs: DataFrame, text: str = "text") -> int:
+    """Shards in proportion to the texts, but at least one for each core."""
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+
+
+def write(docs: DataFrame, tokenizer: str, to: str, end_id: int = END_ID, text: str = "text") -> DataFrame:
+    """Write shards of docs below the URI `to`, in order of doc_id; the table of shards: shard, uri, n_docs, n_ids, first_id, last_id (of rows with an id), start."""
     files.make_dir(to)
 
     def save(batches):
@@ -260,7 +318,7 @@ def write(docs: DataFrame, tokenizer: str, to: str, by_word: bool = True, end_id
             if not batch.num_rows:
                 continue
             if writer is None:
-                used = encoder(tokenizer, by_word, end_id)
+                used = encoder(tokenizer, end_id)
                 manager = files.written(uri)
                 writer = Writer(manager.__enter__(), used.dtype)
             for a in range(0, batch.num_rows, AT_ONCE):
@@ -270,47 +328,71 @@ def write(docs: DataFrame, tokenizer: str, to: str, by_word: bool = True, end_id
         if writer is not None:
             writer.close()
             manager.__exit__(None, None, None)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "n_docs": [len(writer.keys)], "n_ids": [sum(writer.sizes)]})
+            named = not all(writer.null)
+            yield pa.RecordBatch.from_pydict(
+                {"shard": [shard], "uri": [uri], "n_docs": [len(writer.keys)], "n_ids": [sum(writer.sizes)], "first_id": pa.array([writer.keys[writer.null.find(0)] if named else None], pa.int64()), "last_id": pa.array([writer.keys[-1] if named else None], pa.int64())}
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    shards = stage(dealt.mapInArrow(save, "shard long, uri string, n_docs long, n_ids long"), "shards")
+    dealt = rows.repartitionByRange(n_shards(rows), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    shards = stage(dealt.mapInArrow(save, "shard long, uri string, n_docs long, n_ids long, first_id long, last_id long"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
 
 def read(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; keyed rows are found through the index."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files: keys are asked for one after another and rows read where the index has them."""
 
     def load(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 with files.opened(row["uri"]) as file:
                     shard = Shard(file)
-                    rows = np.arange(shard.rows)
-                    found = shard.rows_of(shard.keys)
-                    first = np.where(shard.null, rows, found)
-                    # A key's rows stand together from the one that the index gives.
-                    first = np.where(~shard.null & (found >= 0) & (shard.keys[np.maximum(found, 0)] == shard.keys), first + (rows - np.maximum(found, 0)), first)
-                    if (first != rows).any():
-                        raise ValueError(f"{row['uri']}: the index does not lead to its documents")
+                    bare = int(shard.null.sum())  # rows without a key come first
                     for a in range(0, shard.rows, 1000):
                         b = min(a + 1000, shard.rows)
-                        ids, at = shard.ids(a, b).astype("<u4"), (shard.offsets[a : b + 1] - shard.offsets[a]).astype(np.int64)
-                        crc = [zlib.crc32(ids[at[i] : at[i + 1]].tobytes()) for i in range(b - a)]
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "doc_id": pa.array(shard.keys[a:b], pa.int64(), mask=shard.null[a:b]),
-                                "start": pa.array(shard.offsets[a:b].astype(np.int64) + row["start"]),
-                                "n_tokens": pa.array(np.diff(at)),
-                                "ids_crc32": pa.array(crc, pa.int64()),
-                            }
-                        )
+                        null, keys = shard.null[a:b], shard.keys[a:b]
+                        # A key's rows stand together from the one that the index gives; rows without a key are reached by number.
+                        first, rows = bare + np.searchsorted(shard.keys[bare:], keys), np.arange(a, b)
+                        at = np.where(null, rows, shard.rows_of(keys) + rows - first)
+                        if (at[~null] < 0).any():
+                            raise ValueError(f"{row['uri']}: the index lacks a document's key")
+                        start, end = shard.offsets[at].astype(np.int64), shard.offsets[at + 1].astype(np.int64)
+                        low = int(start.min())
+                        ids = shard._ids(low, int(end.max())).astype("<u4")
+                        crc = [zlib.crc32(ids[x - low : y - low].tobytes()) for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64(), mask=null), "start": pa.array(start + row["start"]), "n_tokens": pa.array(end - start), "ids_crc32": pa.array(crc, pa.int64())})
 
     n = max(1, min(4096, shards.count()))
     return shards.select("uri", "start").repartition(n).mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def fetch(shards: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents whose ids are asked for in keys (doc_id): each key goes to the shards in whose range it lies and is looked up there; the first row of a key counts."""
+
+    def load(batches):
+        now, file, shard = None, None, None
+        for batch in batches:
+            found = []
+            for uri, key in zip(batch.column("uri").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+                if uri != now:
+                    if file is not None:
+                        file.close()
+                    now, file = uri, files.opened(uri)
+                    shard = Shard(file)
+                if (ids := shard.get(key)) is not None:
+                    found.append((key, uri, ids.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found]), pa.array([x[2] for x in found], pa.list_(pa.int64()))], names=["doc_id", "uri", "ids"])
+
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    table = shards.where("first_id is not null").select("uri", "first_id", "last_id", F.expr(f"shard div {GROUP}").alias("part"))
+    parts = table.groupBy("part").agg(F.min("first_id").alias("low"), F.max("last_id").alias("high"))  # one row for GROUP shards
+    near = asked.join(F.broadcast(parts), F.col("doc_id").between(F.col("low"), F.col("high"))).select("doc_id", "part")
+    routed = near.join(table, (near["part"] == table["part"]) & F.col("doc_id").between(F.col("first_id"), F.col("last_id"))).select("uri", "doc_id")
+    got = routed.repartition("uri").sortWithinPartitions("uri", "doc_id").mapInArrow(load, "doc_id long, uri string, ids array<long>")
+    return got.groupBy("doc_id").agg(F.min_by("ids", "uri").alias("ids"))
+
+
 def encode_table(docs: DataFrame, tokenizer: str, spark: SparkSession) -> DataFrame:
     """Write docs and read them back."""
     return read(stage(write(docs, tokenizer, shared_path(spark, "tokens")), "offsets"))

@@ -345,6 +345,58 @@ def test_shards_round_trip(spark, docs, rows):
                 assert shard.get(key).tolist() in [ids[t] for d, t in rows if d == key]
 
 
+def test_keyed_access(spark, docs, rows):
+    """Keys are routed to their shards and looked up there, each by a few reads of a few bytes; those that no shard has are not found."""
+    from tokenizers import Tokenizer
+
+    from quillon.llm import files
+
+    path = tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    shards = tokens.write(docs, path, shared_path(spark, "t"))
+    wanted = [d for d, _ in rows if d is not None and d % 3 == 0] + [1005, 5000, -1]
+    got = {r.doc_id: r.ids for r in tokens.fetch(shards, spark.createDataFrame([(d,) for d in [*wanted, None]], "doc_id long")).collect()}
+    assert set(got) == {d for d in wanted if d in {x for x, _ in rows}}
+    for d, ids in got.items():
+        assert ids in [plain.encode(t or "", add_special_tokens=False).ids + [2] for x, t in rows if x == d]
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.reads = file, []
+
+        def size(self):
+            return self.file.size()
+
+        def read_at(self, size, at):
+            self.reads.append(size)
+            return self.file.read_at(size, at)
+
+    row = next(r for r in shards.collect() if r.first_id is not None)
+    with files.opened(row.uri) as f:
+        counted = Counted(f)
+        shard = tokens.Shard(counted)
+        assert shard.get(row.first_id) is not None and len(counted.reads) <= 7 and sum(counted.reads[1:6]) <= 40
+    lone = tokens.Writer(__import__("io").BytesIO(), np.dtype("<u2"))
+    lone.add(None, b"\x01\x00")
+    lone.close()
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """Words are cut only where the tokenizer's own settings allow it; all others give the library's ids of whole texts."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    assert tokens.cuts_words(tokenizer_path()) and not tokens.cuts_words(tokenizer_path("byte_bpe_50k.json"))
+    settings = json.load(open(tokenizer_path(), encoding="utf-8"))
+    settings["normalizer"]["normalizers"].pop()  # no lower case
+    (tmp_path / "t.json").write_text(json.dumps(settings), encoding="utf-8")
+    texts = ["Some  Text, WITH spaces.\nAnd lines", None, "", "don't  stop"]
+    for path in (str(tmp_path / "t.json"), tokenizer_path("byte_bpe_50k.json")):
+        plain, own = Tokenizer.from_file(path), tokens.encoder(path)
+        assert not own.by_word and [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
 def test_words_are_tokens_of_their_own():
     from tokenizers import Tokenizer
 
