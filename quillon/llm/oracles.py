@@ -74,7 +74,7 @@ def targets_cte(cap: float = 3.0) -> list[str]:
 def mixing_parts(table: str, size: str) -> list[str]:
     """CTEs up to mixed(doc columns of table, size, source_size, target, copies)."""
     digits = mixing.DIGITS * mixing.LEVELS
-    parts = [f"b as (select *, ({size})::bigint size, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, {digits}))::bigint h from {table})", *targets_cte()]
+    parts = [f"b as (select *, ({size})::bigint size, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ' ' || coalesce(text, '')), 1, {digits}))::bigint h from {table})", *targets_cte()]
     parts.append("plan as (select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint copies0 from t)")
     parts.append("cut0 as (select source, 0::bigint prefix, floor(target)::bigint - copies0 * source_size rest, 0::bigint edge from plan)")
     for k in range(mixing.LEVELS):

@@ -507,9 +507,21 @@ def test_targets(spark, seed):
     sizes = {f"s{i}": r.choice([0, 1, 5, 100, 10_000]) for i in range(r.randint(1, 12))} | {None: 7}
     got = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
     want = brute_targets(sizes)
+    ranged = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), range_sources=3).collect()}
+    assert ranged == got
     assert all(got[s] == pytest.approx(want[s]) for s in sizes) and sum(got.values()) == pytest.approx(sum(sizes.values()))
 
 
+def test_rows_without_ids_meet_their_targets(spark):
+    """Rows that lack or share an id are taken one by one, so sources come near their targets all the same."""
+    r = random.Random(2)
+    rows = [(r.choice([None, 7]), " ".join(f"w{r.randrange(99)}" for _ in range(r.randint(1, 30))), s) for s in "abcd" for _ in range(r.randint(50, 200))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    for size, target in {(x.source_size, x.target) for x in got}:
+        assert abs(sum(x.taken for x in got if (x.source_size, x.target) == (size, target)) - target) <= 16
+
+
 # --- quality -----------------------------------------------------------------------------------------------------------
 
 
