@@ -2,8 +2,9 @@
 
 Texts with equal shingle sets are copies and one set stands for them. In every run a set picks those of its shingles
 whose hash in that run is below a bound set by its size, about 1.25 of them; sets that pick a shared shingle meet in its
-bucket. Buckets of more than LIMIT sets are split again, twice at most, on shared values at sampled places of the sets'
-min-hash sketches. In a bucket all pairs are compared: first by sketch, with a bound that a pair at the threshold passes by
+bucket. Buckets of more than LIMIT sets are split again and again, on further sampled tokens: a sketch holds the smallest
+shingle of each of BINS ranges of hashes, and sets that have the same one in a range drawn for the bucket meet in its part. A
+bucket of which a part keeps more than half the sets is a dense group, which no token parts: it stays whole. In a bucket all pairs are compared: first by sketch, with a bound that a pair at the threshold passes by
 some eight standard deviations, then exactly on the shingles. Runs repeat until the chance to miss a pair at the
 threshold is below 1 - RECALL. A pair that shares several buckets counts only in that with the smallest number, so no pair is
 ever listed to drop repeats: sums of links by set and a spanning forest leave a bucket, not its pairs. Buckets too
@@ -30,8 +31,8 @@ from quillon.llm.hashing import WordHashes, mix, runs
 from quillon.llm.words import spaced
 
 SIZE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-#: Sets in a bucket that is compared as it is, sets in a block, splits of a larger bucket, places of a sketch for each split.
-LIMIT, BLOCK, SPLITS, PLACES = 2048, 1024, 2, 2
+#: Sets in a bucket that is compared as it is, sets in a block, most splits of a larger bucket, ranges drawn for each split.
+LIMIT, BLOCK, SPLITS, PLACES = 2048, 1024, 4, 2
 BINS = 64
 #: A pair whose sketches agree in a smaller share of bins is far below the threshold.
 LEAST_AGREEMENT = 0.5
@@ -41,7 +42,7 @@ def n_runs(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     """Runs after which a pair at the threshold is missed with a chance below 1 - recall.
 
     A run picks a shared shingle with a chance of at least 1 - 1 / e; each split of a large bucket keeps the pair together
-    unless its sketches differ at all sampled places.
+    unless its sketches differ in all ranges drawn.
     """
     found = (1 - 1 / math.e) * (1 - (1 - threshold) ** PLACES) ** SPLITS
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
@@ -110,17 +111,21 @@ def _sized(members: DataFrame) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, sid, size): first by picked shingles, then large ones split by sketch values."""
+    """(bucket, sid, size): first by picked shingles, then large ones split by further ones until they are small or do not part."""
     live = stage(_sized(classes.select(F.explode("keys").alias("bucket"), "sid")), "members")
     done = live.where(F.col("size") <= LIMIT)
     for level in range(SPLITS):
-        large = live.where(F.col("size") > LIMIT)
-        if large.isEmpty():
+        live = live.where(F.col("size") > LIMIT)
+        if live.isEmpty():
             return done
         place = F.pmod(F.xxhash64("bucket", "j"), F.lit(BINS))
-        cut = large.select("bucket", "sid").join(classes.select("sid", "sketch"), "sid").select("bucket", "sid", "sketch", F.explode(F.array(*(F.lit(j) for j in range(PLACES)))).alias("j"))
-        cut = cut.select(F.xxhash64("bucket", "j", F.substring("sketch", (2 * place + 1).cast("int"), F.lit(2))).alias("bucket"), "sid")
-        live = stage(_sized(cut), f"split{level}")
+        cut = live.join(classes.select("sid", "sketch"), "sid").select(F.col("bucket").alias("whole"), F.col("size").alias("all"), "sid", "sketch", F.explode(F.array(*(F.lit(j) for j in range(PLACES)))).alias("j"), "bucket")
+        cut = stage(cut.select("whole", "all", F.xxhash64("bucket", "j", F.substring("sketch", (2 * place + 1).cast("int"), F.lit(2))).alias("bucket"), "sid"), f"split{level}")
+        sizes = stage(cut.groupBy("whole", "all", "bucket").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        dense = sizes.groupBy("whole").agg((2 * F.max("size") > F.first("all")).alias("dense"))
+        parts = sizes.join(dense, "whole").where(~F.col("dense") & (F.col("size") > 1)).select("bucket", "size")
+        done = done.unionByName(live.join(dense.where("dense").select(F.col("whole").alias("bucket")), "bucket", "left_semi"))
+        live = stage(cut.select("bucket", "sid").join(parts, "bucket"), "members")
         done = done.unionByName(live if level == SPLITS - 1 else live.where(F.col("size") <= LIMIT))
     return done
 

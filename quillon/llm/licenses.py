@@ -92,9 +92,11 @@ def scan_text(text: str | None, scanner: Scanner, base: dict[str, str] = BASE) -
     joined = b" ".join(words).decode("utf-8", "replace")
     padded, places, base_labels = f" {joined} ", [], set()
     for phrase, label in base.items():
-        at = padded.find(f" {phrase} ")
+        at, seen, words_before = padded.find(f" {phrase} "), 0, 0
         while at >= 0:
-            places.append(padded.count(" ", 0, at))
+            words_before += padded.count(" ", seen, at)
+            seen = at
+            places.append(words_before)
             base_labels.add(label)
             at = padded.find(f" {phrase} ", at + 1)
     spans = scanner.search(joined)

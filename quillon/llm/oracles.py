@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import mixing, quality, urls, warc
+from quillon.llm import jaccard, mixing, quality, urls, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -103,6 +103,26 @@ def substring_sql() -> str:
     return "with " + ", ".join(parts) + " select doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) kept_sha256 from kept"
 
 
+def jaccard_sql() -> str:
+    size = jaccard.SIZE
+    parts = [
+        f"d as materialized (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') w from documents)",
+        f"s as materialized (select distinct rid, array_to_string(w[i:i+{size - 1}], ' ') g from (select rid, w, unnest(range(1, greatest(len(w) - {size - 2}, least(len(w), 1) + 1))) i from d))",
+        "n as materialized (select rid, doc_id, count(g) n from d left join s using (rid) group by rid, doc_id)",
+        "met as (select a.rid a, b.rid b, count(*) c from s a join s b on a.g = b.g and a.rid < b.rid group by all)",
+        "pairs as materialized (select a, b, 2 * c = x.n + y.n copy from met join n x on x.rid = a join n y on y.rid = b where 9 * c >= 4 * (x.n + y.n))",
+        "links as materialized (select a, b, copy from pairs union all select b, a, copy from pairs)",
+    ]
+    reach = "reach(rid, other) as (select rid, rid from n union select reach.rid, b from reach join links on other = a)"
+    return (
+        "with recursive " + ", ".join([*parts, reach])
+        + " select n.doc_id, r.class_id, coalesce(l.n_links, 0)::bigint n_links, least(n.doc_id, c.copy_id) copy_id, n.n::bigint n_shingles from n"
+        " join (select reach.rid, min(m.doc_id) class_id from reach join n m on m.rid = other group by reach.rid) r on r.rid = n.rid"
+        " left join (select a, count(*) n_links from links group by a) l on l.a = n.rid"
+        " left join (select a, min(m.doc_id) copy_id from links join n m on m.rid = b where copy group by a) c on c.a = n.rid"
+    )
+
+
 def warc_sql() -> str:
     return f"""with p as (select page_id, coalesce(html, '') h, octet_length(encode(coalesce(html, ''))) n from pages),
 k as (select *, case when n >= {warc.LEAST} then max(page_id) over (partition by h) end keeper from p)
@@ -111,4 +131,4 @@ case when page_id is distinct from keeper then keeper end refers_to from k"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_trust": urls_sql(), "op2_quality_votes": quality_sql(), "op4_repeated_spans": substring_sql(), "op6_mix_sources": mixing_sql(), "op9_warc_packages": warc_sql()}
+    return {"op1_url_trust": urls_sql(), "op2_quality_votes": quality_sql(), "op4_repeated_spans": substring_sql(), "op6_mix_sources": mixing_sql(), "op8_near_duplicates": jaccard_sql(), "op9_warc_packages": warc_sql()}
