@@ -40,7 +40,7 @@ END_ID = 2
 #: Most words whose ids a Python process keeps, and the texts encoded at once.
 CACHE, AT_ONCE = 300_000, 1000
 #: Bytes of text in a shard, more or less; shards whose ranges of ids are looked up together.
-SHARD_BYTES, GROUP = 128 << 20, 1024
+SHARD_BYTES, GROUP = 64 << 20, 1024
 #: Bits that remember which words were met.
 SEEN = 1 << 25
 DIRECT = np.uint32(1 << 31)
