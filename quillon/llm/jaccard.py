@@ -216,12 +216,15 @@ def _verify(threshold: float):
             ok = _comparable(bucket, [np.array(x, np.int64) for x in table.column("buckets").to_pylist()], table.column("block").to_numpy(), lo != hi)
             sets = [np.frombuffer(x, "<u8") for x in table.column("members").to_pylist()]
             n = np.array([len(x) for x in sets], np.float64)
-            ok &= _shared(sets).astype(np.float64) * (1 + threshold) >= threshold * (n[:, None] + n[None, :]) - 1e-6
+            shared, weight, links = _shared(sets), table.column("weight").to_numpy().astype(np.float64), np.zeros(m, np.int64)
+            for rows in (slice(a, a + 256) for a in range(0, m, 256)):
+                ok[rows] &= shared[rows].astype(np.float64) * (1 + threshold) >= threshold * (n[rows, None] + n[None, :]) - 1e-6
             ok |= ok.T
             linked = ok.any(1)
             if not linked.any():
                 continue
-            links = (ok @ table.column("weight").to_numpy().astype(np.float64)).astype(np.int64)
+            for rows in (slice(a, a + 256) for a in range(0, m, 256)):
+                links[rows] = ok[rows] @ weight
             sids = table.column("sid").to_pylist()
             root = _roots(ok)
             who = np.flatnonzero(linked)

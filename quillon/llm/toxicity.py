@@ -19,6 +19,7 @@ rows score alike; an empty table gives an empty result; texts are read whole; ot
 from __future__ import annotations
 
 import itertools
+import struct
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -178,16 +179,16 @@ def _discount(hit: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class Inputs(dict):
-    """The hashed inputs of words, of which a bounded number are kept: the word itself and its beginnings."""
+    """The hashed inputs of words, as 16-bit numbers, of which a bounded number are kept: the word itself and its beginnings."""
 
-    def __init__(self, keep: int = 300_000) -> None:
+    def __init__(self, keep: int = 100_000) -> None:
         super().__init__()
         self.keep = keep
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         parts = {f" {text} ", *(f" {text[:n]}" for n in PREFIXES if len(text) >= n)}
-        found = tuple(zlib.crc32(x.encode()) % HASHES for x in sorted(parts))
+        found = struct.pack(f"<{len(parts)}H", *(zlib.crc32(x.encode()) % HASHES for x in parts))
         if len(self) < self.keep:
             self[word] = found
         return found
@@ -195,7 +196,7 @@ class Inputs(dict):
     def of(self, text: str | None, wanted: np.ndarray | None = None) -> tuple[bool, np.ndarray, np.ndarray]:
         """Whether a text has a word of the fixed list, its inputs (only wanted ones, if given) and their values: up to some 100 words, the share of them counts, beyond that too."""
         words = set(folded_lower(text))
-        ids = np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, words)), np.int64)
+        ids = np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2")
         if wanted is not None:
             ids = ids[wanted[ids]]
         ids, count = np.unique(ids, return_counts=True)
@@ -205,6 +206,8 @@ class Inputs(dict):
 FIXED = frozenset(w.encode() for w in INSULTS)
 #: Texts of fewer distinct words count as if they had so many.
 LEAST_WORDS = 50
+#: Inputs that a step of the fit takes at once.
+LOT = 1 << 20
 _INPUTS: list[Inputs] = []
 
 
@@ -215,7 +218,7 @@ def _inputs() -> Inputs:
     return _INPUTS[0]
 
 
-def least(f, x: np.ndarray, steps: int = 40, kept: int = 8) -> np.ndarray:
+def least(f, x: np.ndarray, steps: int = 80, kept: int = 8) -> np.ndarray:
     """Where a convex function is least, by the limited-memory BFGS method; f gives value and gradient."""
     moves, value, slope = [], *f(x)
     for _ in range(steps):
@@ -235,7 +238,7 @@ def least(f, x: np.ndarray, steps: int = 40, kept: int = 8) -> np.ndarray:
             moves = [*moves, (-length * way, new[1] - slope)][-kept:]
         gain = value - new[0]
         x, value, slope = x - length * way, *new
-        if gain < 1e-6:
+        if gain < 1e-7:
             break
     return x
 
@@ -244,11 +247,16 @@ def fit_linear(row: np.ndarray, at: np.ndarray, value: np.ndarray, fixed: np.nda
     """HASHES weights, that of the fixed list and the intercept of a logistic model for soft labels y, from inputs (row, at, value)."""
     n, weight = len(y), weight / max(weight.sum(), 1e-9)
     pull = np.concatenate([np.full(HASHES, ridge), [ridge / 100, 0.0]])
+    lots = [slice(a, a + LOT) for a in range(0, len(row), LOT)]  # so that what a step needs besides is small
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, value * p[at], n) + fixed * p[-2] + p[-1]
+        z = fixed * p[-2] + p[-1]
+        for k in lots:
+            z += np.bincount(row[k], value[k] * p[at[k]], n)
         e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        slope = np.concatenate([np.bincount(at, value * e[row], HASHES), [e @ fixed, e.sum()]])
+        slope = np.append(np.zeros(HASHES), [e @ fixed, e.sum()])
+        for k in lots:
+            slope[:HASHES] += np.bincount(at[k], value[k] * e[row[k]], HASHES)
         return float(weight @ (np.logaddexp(0, z) - y * z) + pull @ (p * p) / 2), slope + pull * p
 
     return least(loss, np.concatenate([np.zeros(HASHES + 1), [-2.0]]))
@@ -302,12 +310,12 @@ def fit(docs: DataFrame, counted: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     picked = docs.sparkSession.createDataFrame([(h,) for h in label], "hash long")
     rows = docs.select(F.xxhash64("text").alias("hash"), "text").join(F.broadcast(picked), "hash").groupBy("hash").agg(F.first("text").alias("text"))
     rows = sorted(rows.mapInArrow(_described, "hash long, fixed boolean, at binary, value binary").collect(), key=lambda r: r.hash)  # at most fit_rows, of HASHES inputs at most
-    at = [np.frombuffer(r.at, "<u2") for r in rows]
-    value = np.concatenate([np.frombuffer(r.value, "<f2") for r in rows]).astype(float)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in at])
-    at = np.concatenate(at).astype(np.int64)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.at) // 2 for r in rows])
+    at, value = np.frombuffer(b"".join(r.at for r in rows), "<u2"), np.frombuffer(b"".join(r.value for r in rows), "<f2")
+    sides = [np.array([of(r) for r in rows], float) for of in (lambda r: r.fixed, lambda r: label[r.hash], lambda r: share[r.hash])]
+    del rows
     often = np.bincount(at, minlength=HASHES)[at] >= 5  # inputs of fewer texts say nothing about others
-    return Model(fit_linear(row[often], at[often], value[often], np.array([float(r.fixed) for r in rows]), np.array([label[r.hash] for r in rows]), np.array([share[r.hash] for r in rows])))
+    return Model(fit_linear(row[often], at[often], value[often].astype(np.float32), *sides))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
