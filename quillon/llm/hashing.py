@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """xxh3 of words under a seed, of which a bounded number are kept."""
 
-    def __init__(self, keep: int = 400_000, seed: int = 0) -> None:
+    def __init__(self, keep: int = 150_000, seed: int = 0) -> None:
         super().__init__()
         self.keep, self.seed = keep, seed
 

@@ -181,7 +181,7 @@ def _discount(hit: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Inputs(dict):
     """The hashed inputs of words, as 16-bit numbers, of which a bounded number are kept: the word itself and its beginnings."""
 
-    def __init__(self, keep: int = 100_000) -> None:
+    def __init__(self, keep: int = 50_000) -> None:
         super().__init__()
         self.keep = keep
 
