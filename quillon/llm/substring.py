@@ -26,7 +26,7 @@ import functools
 import hashlib
 import itertools
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ AT_ONCE, SLOT_BYTES, SLOTS = 12 << 20, 3 << 20, 128
 #: Slots or shards of one task, one after another, the least number of tasks, and the most: beyond it tasks take more of them.
 PER_TASK, TASKS = 4, (32, 100_000)
 NULL_ID = np.iinfo(np.int64).max
+#: Words whose hashes a task keeps.
+KEEP_WORDS = 400_000
 #: Words of a reference shard, and words that stream through one copy of it.
 SHARD_WORDS, STREAM_WORDS = 60_000, 600_000
 RUN = ("doc", "tag", "start", "n", "owner", "owner_tag", "owner_start")
@@ -171,7 +173,7 @@ def resolve(lots: list[bytes]) -> np.ndarray:
 
 
 def _lots(batches, slots: int, length: int, seed: int, bits: int):
-    hashes, held, size = WordHashes(seed=seed), [], 0
+    hashes, held, size = WordHashes(KEEP_WORDS, seed), [], 0
 
     def flush():
         ids = np.array([NULL_ID if d is None else d for d, _, _ in held], np.int64)
@@ -314,9 +316,9 @@ class Automaton:
             if v:
                 self.doc[self.link[v]] = min(self.doc[self.link[v]], self.doc[v])
 
-    def found(self, words: list[bytes], length: int) -> Iterator[int]:
+    def found(self, words: list[bytes], length: int) -> list[int]:
         """For every window of the words, the smallest document with it, NULL_ID if there is none."""
-        step, link, size, doc = self.step, self.link, self.size, self.doc
+        step, link, size, doc, out = self.step, self.link, self.size, self.doc, []
         v = n = 0
         for i, word in enumerate(words):
             while v and word not in step[v]:
@@ -329,7 +331,8 @@ class Automaton:
                     v = link[v]
                 n = length
             if i >= length - 1:
-                yield doc[v] if n >= length else NULL_ID
+                out.append(doc[v] if n >= length else NULL_ID)
+        return out
 
 
 def _references(batches, length: int):
@@ -359,7 +362,7 @@ _PIECES = pa.list_(pa.struct([("shard", pa.int64()), ("query", pa.bool_()), ("st
 
 def _left(words: list[bytes], mask: np.ndarray, text_out: bool):
     """The words that stay, or their digest."""
-    kept = b" ".join([w for w, x in zip(words, mask.tolist(), strict=True) if not x])
+    kept = b" ".join([w for w, x in zip(words, mask.tolist(), strict=True) if not x] if mask.any() else words)
     return kept if text_out else hashlib.sha256(kept).hexdigest()
 
 
@@ -372,7 +375,7 @@ def _cut(length: int, shards: int, text_out: bool):
             for doc, tag, text, data, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "runs", "spans")), strict=True):
                 words, own = spaced(text), []
                 r = np.zeros((0, len(RUN)), np.int64) if data is None else unpack_runs(data)
-                mask = removed_mask(len(words), r, length)
+                mask = removed_mask(len(words), r, length) if len(r) else np.zeros(len(words), bool)
                 sizes.append(len(words))
                 gone.append(int(mask.sum()))
                 kept.append(_left(words, mask, text_out))
@@ -405,7 +408,7 @@ def _report(length: int):
                 if not ready:
                     automaton.finish()
                     ready = True
-                known = np.fromiter(automaton.found(words.split(b" "), length), np.int64) < (NULL_ID if doc is None else doc)
+                known = np.array(automaton.found(words.split(b" "), length), np.int64) < (NULL_ID if doc is None else doc)
                 if known.any():
                     told.append((doc, tag, _pairs(start + np.flatnonzero(known))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in told], pa.int64()), pa.array([x[1] for x in told], pa.int64()), pa.array([x[2] for x in told], pa.binary())], names=["doc_id", "tag", "hits"])
