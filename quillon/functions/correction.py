@@ -4,7 +4,8 @@ Nulls and non-finite p-values are not tested: they stay null and do not count. W
 plain windows do. Over a whole table, equal p-values are counted first, then dealt into value ranges: a range's first rank and
 the extremes of the other ranges come from a table of one row a range, so no task ever sorts all p-values. Rows find their
 corrected value by an equi-join on the p-value, in which the few values that very many rows share, and rows that are not
-tested, do not take part: their corrected values go into the plan as literals.
+tested, do not take part: their corrected values go into the plan as literals. The rows are those of one run, in files: a
+second run may add floating-point numbers in another order, and p-values that differ in their last bits would meet nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon import staging
 from quillon.errors import ContractError
 from quillon.functions.hommel import corrected, hommel, lower_hull, points
 from quillon.functions.qvalue import LAMBDAS, pi0_from_curve
@@ -133,8 +135,8 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def release() -> int:
-    """Let go of what results kept, when no result that uses it is needed any more; the number of tables."""
-    n = len(_KEPT)
+    """Let go of what results kept, in memory or in files, when no result that uses it is needed any more; the number of tables."""
+    n = len(_KEPT) + staging.release()
     while _KEPT:
         _KEPT.pop().unpersist()
     return n
@@ -165,15 +167,18 @@ def _looked_up(df: DataFrame, fixed: DataFrame, p: str, out: str, m: int) -> Dat
 
 
 def adjust(df: DataFrame, method: str | None, p: str = "p_value", out: str = "adjusted", n_tests: int | None = None) -> DataFrame:
-    """df with out: p corrected over the whole table, for n_tests tests (those of the table if not given)."""
+    """df with out: p corrected over the whole table, for n_tests tests (those of the table if not given). df is run once, now."""
     method = known(method)
     v = tested(F.col(p))
     if method == "none":
         return df.withColumn(out, v)
     if method == "bonferroni":
+        if n_tests is None:
+            df = staging.fixed(df, "p")
         n = df.agg(F.count(v)).first()[0] if n_tests is None else n_tests
         return df.withColumn(out, F.when(v.isNotNull(), F.least(v * n, F.lit(1.0))) if n > 0 else v)
-    values = keep(distinct_values(df, p))  # looked at several times; df is run for it and for the result
+    df = staging.fixed(df, "p")  # the values and the result must have the same numbers
+    values = keep(distinct_values(df, p))  # looked at several times
     size = values.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("m"), F.count(F.lit(1)).alias("d")).first()
     m = size.m
     n = m if n_tests is None else n_tests

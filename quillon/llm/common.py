@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.staging import shared_dir
+
 #: Word separators of the corpus contracts: space and the control characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a new temporary one where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or (d.get() if (d := sc._jsc.sc().getCheckpointDir()).isDefined() else None)
-    if not found:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 _STAGED: list[str] = []
 
 

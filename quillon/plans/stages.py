@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon import schema
 from quillon.config import Config
 from quillon.errors import ContractError
-from quillon.functions.correction import adjust, adjust_within, keep
+from quillon.functions.correction import adjust, adjust_within
 from quillon.operators import audit
 from quillon.operators.cells import wls_pvalues
 from quillon.operators.cluster import cluster_table, profiles
@@ -71,9 +71,8 @@ def prepare_from_parquet(spark: SparkSession, path: str, config: Config, provena
 def corrected(raw: DataFrame, config: Config) -> DataFrame:
     """raw with p-values corrected within proteins, then over all, and the flag.
 
-    The table-wide correction looks at the p-values several times; they are kept, one row a peptide, so that models run once.
+    The table-wide correction runs what it corrects once and writes it, one row a peptide.
     """
-    raw = keep(raw)
     within = adjust_within(raw, config.correction_within, PROTEIN, "raw_p_value", "within_p_value")
     both = adjust(within, config.correction_global, "within_p_value", "adjusted_p_value")
     flag = F.coalesce(F.col("adjusted_p_value") <= config.fdr, F.lit(False))

@@ -1,6 +1,7 @@
 """Stages, sources and audits on small tables."""
 
 import json
+import os
 import warnings
 
 import numpy as np
@@ -118,6 +119,18 @@ def test_many_ranges_and_heavy_values(spark, monkeypatch, method):
     assert correction.release() > 0 and correction.release() == 0
 
 
+@pytest.mark.parametrize("method", ["BY"])
+def test_p_values_that_differ_between_runs(spark, method):
+    """Sums of floating-point numbers differ in their last bits from run to run: every row has its corrected value all the same."""
+    noise = F.udf(lambda p: p * (1 + int.from_bytes(os.urandom(1), "big") * 2.0**-52), "double").asNondeterministic()
+    p = np.random.default_rng(2).beta(0.3, 2, 200)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "i int, p double").select("i", noise("p").alias("p"), F.lit(None).alias("void"))
+    out = correction.adjust(df, method, "p", "a")
+    got = {r.i: r.a for r in out.collect()}
+    assert out.columns == ["i", "p", "void", "a"] and None not in got.values()
+    assert np.allclose([got[i] for i in range(len(p))], correction.p_adjust(p, method), rtol=1e-9)
+
+
 def test_harmonic_sum_of_many(spark):
     n = 5000
     got = spark.range(1).select(correction.harmonic(F.lit(n).cast("long")).alias("h")).first().h
