@@ -119,7 +119,7 @@ def test_many_ranges_and_heavy_values(spark, monkeypatch, method):
     assert correction.release() > 0 and correction.release() == 0
 
 
-@pytest.mark.parametrize("method", ["BY", "fdr_bh", "hochberg", "holm"])
+@pytest.mark.parametrize("method", ["BY", "fdr_bh", "hochberg", "holm", "hommel", "qvalue"])
 def test_p_values_that_differ_between_runs(spark, method):
     """Sums of floating-point numbers differ in their last bits from run to run: every row has its corrected value all the same."""
     noise = F.udf(lambda p: p * (1 + int.from_bytes(os.urandom(1), "big") * 2.0**-52), "double").asNondeterministic()
