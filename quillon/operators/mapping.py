@@ -9,14 +9,22 @@ from quillon.errors import ContractError
 from quillon.schema import PEPTIDE, PROTEIN
 
 
-def group_numbers(table: DataFrame) -> DataFrame:
-    """(protein_id, cluster_id, dpf_id) from (protein_id, cluster_id, is_discordant).
+def numbered(table: DataFrame) -> DataFrame:
+    """table with dpf_id from (protein_id, cluster_id, is_discordant), in one run of table: its clusters meet nothing that another run made.
 
-    0 for clusters without a discordant peptide, -1 for single peptides, else 1, 2, ... in the order of the protein's clusters.
+    0 for clusters without a discordant peptide and for peptides without a cluster, -1 for single peptides, else 1, 2, ... in
+    the order of the protein's clusters.
     """
-    stats = table.groupBy(PROTEIN, "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_discordant").alias("any"))
-    counts = F.sum(F.when(F.col("any") & (F.col("n") > 1), 1).otherwise(0)).over(Window.partitionBy(PROTEIN).orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return stats.select(PROTEIN, "cluster_id", F.when(~F.col("any"), 0).when(F.col("n") == 1, -1).otherwise(counts).cast("long").alias("dpf_id"))
+    cluster = Window.partitionBy(PROTEIN, "cluster_id")
+    got = table.repartition(PROTEIN).withColumn("_n", F.count(F.lit(1)).over(cluster)).withColumn("_any", F.bool_or("is_discordant").over(cluster)).withColumn("_row", F.row_number().over(cluster.orderBy("is_discordant")))
+    hit = F.coalesce(F.col("_any"), F.lit(False)) & F.col("cluster_id").isNotNull()
+    counts = F.count_if(hit & (F.col("_n") > 1) & (F.col("_row") == 1)).over(Window.partitionBy(PROTEIN).orderBy("cluster_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return got.withColumn("dpf_id", F.when(~hit, 0).when(F.col("_n") == 1, -1).otherwise(counts).cast("long")).drop("_n", "_any", "_row")
+
+
+def group_numbers(table: DataFrame) -> DataFrame:
+    """(protein_id, cluster_id, dpf_id) from (protein_id, cluster_id, is_discordant)."""
+    return numbered(table).groupBy(PROTEIN, "cluster_id").agg(F.first("dpf_id").alias("dpf_id"))
 
 
 def map_peptides(peptides: DataFrame, flags: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -24,8 +32,7 @@ def map_peptides(peptides: DataFrame, flags: DataFrame, clusters: DataFrame) ->
     keys = [PROTEIN, PEPTIDE]
     rows = peptides.select(*keys).distinct().join(flags.select(*keys, "is_discordant"), keys, "left").join(clusters.select(*keys, "cluster_id"), keys, "left")
     rows = rows.withColumn("is_discordant", F.coalesce("is_discordant", F.lit(False)))
-    numbered = rows.join(group_numbers(rows.where("cluster_id is not null")), [PROTEIN, "cluster_id"], "left")
-    return numbered.select(*keys, "is_discordant", "cluster_id", F.coalesce("dpf_id", F.lit(0)).cast("long").alias("dpf_id"))
+    return numbered(rows).select(*keys, "is_discordant", "cluster_id", "dpf_id")
 
 
 def check_mapping(table: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from quillon.operators import audit, cells, cluster, codes, ingest, mapping, nor
 from quillon.plans import stages
 from quillon.schema import CONDITION, INTENSITY, KEY, NORMALIZED, PEPTIDE, PROTEIN, SAMPLE
 from quillon.sources.fasta import annotate, skip_counts
+from quillon.staging import fixed
 
 CONDITIONS = {"mid": ("Y1997", "Y1998"), "control": ("Y1995", "Y1996"), "late": ("Y1999", "Y2000", "Y2001")}
 CONFIG = Config(control_condition="control", conditions=CONDITIONS, model="wls", fdr=0.2)
@@ -41,12 +42,13 @@ def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str, config: Config = CONFIG):
-    return stages.prepare(long_table(spark, sf_dir), config)
+    """The normalized table with the audits; lineitem, which is much larger than the long table, is joined and summed once."""
+    return stages.prepare(fixed(long_table(spark, sf_dir), "long"), config)
 
 
 def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalized table without the audits."""
-    return stages.prepare(long_table(spark, sf_dir), CONFIG, check=False).peptides
+    return stages.prepare(fixed(ingest.in_scope(long_table(spark, sf_dir), CONFIG), "long"), CONFIG, check=False).peptides
 
 
 def pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:

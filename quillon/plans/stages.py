@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon import schema
 from quillon.config import Config
 from quillon.errors import ContractError
-from quillon.functions.correction import adjust, adjust_within
+from quillon.functions.correction import adjust, adjust_within, keep
 from quillon.operators import audit
 from quillon.operators.cells import wls_pvalues
 from quillon.operators.cluster import cluster_table, profiles
@@ -47,7 +47,10 @@ def select_model(name: str) -> Model:
 
 
 def prepare(peptides: DataFrame, config: Config, provenance: DataFrame | None = None, check: bool = True) -> PreparedDataset:
-    """Validated and normalized peptides. With check, the audits run now, in one run of peptides; the table itself stays lazy."""
+    """Validated and normalized peptides. With check, the audits run now, in one run of peptides; the table itself stays lazy.
+
+    With check, the first stage that needs the table makes it, in one more run of peptides, and it is kept for the others.
+    """
     every = typed(peptides, config)
     rows = in_scope(every, config)
     if provenance is not None:
@@ -60,7 +63,7 @@ def prepare(peptides: DataFrame, config: Config, provenance: DataFrame | None =
         stats = [Row(sample_id=r["sample"], mean=r["mean"], std=r["std"]) for r in samples if r["sample"] in config.selected_sample_ids]
         metadata["finite"] &= all(r.std is not None for r in stats)
     rows = normalize_control_relative_long(rows, config.conditions[config.control_condition], config.input_is_log2, check=check, stats=stats)
-    return PreparedDataset(config, rows, config.ordered_sample_ids, config.condition_levels, metadata | {"control_condition": config.control_condition})
+    return PreparedDataset(config, keep(rows) if check else rows, config.ordered_sample_ids, config.condition_levels, metadata | {"control_condition": config.control_condition})
 
 
 def prepare_from_parquet(spark: SparkSession, path: str, config: Config, provenance: DataFrame | None = None) -> PreparedDataset:

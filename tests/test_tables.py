@@ -228,6 +228,36 @@ def test_prepare_runs_its_source_once(spark, peptides):
     assert seen.value <= 4 * n
 
 
+def test_stages_run_source_and_clusters_once(spark, peptides):
+    """Audits and statistics run the source once, all stages together once more; profiles are clustered once."""
+    seen = {k: spark.sparkContext.accumulator(0) for k in ("source", "profiles")}
+
+    def counted(df, counter):
+        def count(batches):
+            for batch in batches:
+                counter.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(count, df.schema)
+
+    n = peptides.count()
+    data = q.prepare(counted(peptides, seen["source"]), config())
+    found = q.run_discordance(data)
+    clusters = q.run_cluster(data, found, builder=lambda prepared, _: counted(cluster.profiles(prepared.peptides, ("ctl", "trt")), seen["profiles"]))
+    assert len(q.assign_proteoforms(data, found, clusters, check=False).table.collect()) == 8
+    assert seen["source"].value == 2 * n and seen["profiles"].value == 8
+
+
+def test_numbers_of_peptides_without_clusters(spark):
+    keys = "protein_id string, peptide_id string"
+    rows = [("P", "a", True, None), ("P", "b", True, None), ("P", "c", True, 2), ("P", "d", False, 2), ("P", "e", True, 3), ("Q", "a", False, 1), (None, "a", True, None)]
+    peptides = spark.createDataFrame([r[:2] for r in rows], keys)
+    flags = spark.createDataFrame([r[:3] for r in rows], f"{keys}, is_discordant boolean")
+    clusters = spark.createDataFrame([(*r[:2], r[3]) for r in rows if r[3]], f"{keys}, cluster_id long")
+    got = {r[:2]: r[2:] for r in map(tuple, mapping.map_peptides(peptides, flags, clusters).collect())}
+    assert got == {("P", "a"): (True, None, 0), ("P", "b"): (True, None, 0), ("P", "c"): (True, 2, 1), ("P", "d"): (False, 2, 1), ("P", "e"): (True, 3, -1), ("Q", "a"): (False, 1, 0), (None, "a"): (False, None, 0)}
+
+
 def test_peptides_without_control_rows(spark, peptides):
     """Their normalized values are null: the tests refuse them, as they do without the audits."""
     bare = peptides.where("not (peptide_id = 'PEP1' and sample_id in ('S1', 'S2', 'S3'))")
