@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,12 +35,35 @@ def profile_distances(table: DataFrame) -> DataFrame:
 
 
 def cluster_table(table: DataFrame, config: Config) -> DataFrame:
-    """(protein_id, peptide_id, cluster_id, cut_method, linkage_method) from profiles; one protein in one call."""
+    """(protein_id, peptide_id, cluster_id, cut_method, linkage_method) from profiles; one protein in one call of the kernel.
+
+    Proteins are mostly small, so they come in batches, sorted; a protein that a batch cuts waits for its other rows.
+    """
+
+    def labelled(rows: pa.Table) -> pa.Table:
+        names, values = rows.column(PROTEIN).to_pylist(), rows.column("profile").to_pylist()
+        labels = []
+        for _, own in itertools.groupby(range(len(names)), names.__getitem__):
+            x = np.array([values[i] for i in own], float)
+            labels.append(cluster_profiles(x, config))
+        return pa.table({PROTEIN: rows.column(PROTEIN), PEPTIDE: rows.column(PEPTIDE), "cluster_id": pa.array(np.concatenate(labels).astype(np.int64))})
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(PEPTIDE)
-        labels = cluster_profiles(np.array(rows.column("profile").to_pylist(), float), config)
-        n = rows.num_rows
-        return pa.table({PROTEIN: rows.column(PROTEIN), PEPTIDE: rows.column(PEPTIDE), "cluster_id": pa.array(labels.astype(np.int64)), "cut_method": pa.array([config.cut] * n), "linkage_method": pa.array([config.linkage] * n)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # rows of one protein, the last
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).to_pylist()
+            first = next((i for i in range(len(names) - 1, 0, -1) if names[i - 1] != names[-1]), 0)
+            if waiting and (first or waiting[-1].column(0)[0].as_py() != names[0]):
+                yield from labelled(pa.Table.from_batches([*waiting, batch.slice(0, first)])).to_batches()
+                waiting = []
+            elif first:
+                yield from labelled(pa.Table.from_batches([batch.slice(0, first)])).to_batches()
+            waiting.append(batch.slice(first))
+        if waiting:
+            yield from labelled(pa.Table.from_batches(waiting)).to_batches()
 
-    return table.groupBy(PROTEIN).applyInArrow(run, "protein_id string, peptide_id string, cluster_id long, cut_method string, linkage_method string")
+    rows = table.select(PROTEIN, PEPTIDE, "profile").repartition(PROTEIN).sortWithinPartitions(PROTEIN, F.col(PEPTIDE).asc_nulls_last())
+    got = rows.mapInArrow(run, "protein_id string, peptide_id string, cluster_id long")
+    return got.withColumn("cut_method", F.lit(config.cut)).withColumn("linkage_method", F.lit(config.linkage))

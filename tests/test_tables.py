@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import quillon as q
 from quillon.functions import correction
-from quillon.operators import cells, cluster, codes, ingest, mapping, normalize, weights
+from quillon.operators import cells, cluster, codes, ingest, mapping, normalize, ward, weights
 from quillon.operators.mapping import check_mapping
 
 CONDITIONS = {"ctl": ("S1", "S2", "S3"), "trt": ("S4", "S5", "S6")}
@@ -163,6 +163,23 @@ def test_profiles_fill_missing_conditions(spark):
     assert got == {"a": [2.0, 0.0], "b": [0.0, 4.0]}
 
 
+@pytest.mark.parametrize("batch", ["1", "3", "10000"])
+def test_clusters_of_proteins_that_batches_cut(spark, batch):
+    """Small batches and one give the kernel's labels, also for a null name, single peptides and a protein of many batches."""
+    rng = np.random.default_rng(9)
+    sizes = {"A": 1, "B": 2, "C": 11, "D": 4, None: 5, "E": 1, "F": 3}
+    x = {k: rng.normal(size=(n, 3)) for k, n in sizes.items()}
+    rows = [(k, f"p{i:02d}", x[k][i].tolist()) for k in x for i in range(len(x[k]))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        table = spark.createDataFrame(rows[::-1], "protein_id string, peptide_id string, profile array<double>").coalesce(1)
+        got = cluster.cluster_table(table, config()).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(k, f"p{i:02d}"): int(c) for k in x for i, c in enumerate(ward.cluster_profiles(x[k], config()))}
+    assert len(got) == len(want) and {(r.protein_id, r.peptide_id): r.cluster_id for r in got} == want
+
+
 def broken(rows, kind):
     if kind == "duplicate":
         return [*rows, rows[0]]
